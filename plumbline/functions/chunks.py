@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schema import as_list, quoted
@@ -14,14 +14,19 @@ def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder the cluster names.
 
     Slice numbers must not change when a lost task is run again, so they are
-    written once. Without a configured folder (tests) a new one is made.
+    written once.
     """
-    spark = df.sparkSession
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a new one where it is unset (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
+                            or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def ordered_chunks(df: DataFrame, order, parts: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import sql_name
+
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -28,19 +30,22 @@ def scalar_columns(df: DataFrame, exclude=()) -> list[str]:
             if not isinstance(f.dataType, _NESTED) and f.name not in skip]
 
 
+def number_sql(df: DataFrame, name: str) -> str:
+    """SQL for the column as a double with NaN turned into NULL."""
+    c = sql_name(name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return f"CASE WHEN NOT isnan({c}) THEN CAST({c} AS DOUBLE) END"
+    return f"CAST({c} AS DOUBLE)"
+
+
 def number(df: DataFrame, name: str) -> Column:
     """The column as a double with NaN turned into NULL."""
-    kind = df.schema[name].dataType
-    c = quoted(name)
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        c = c.cast("double")
-        return F.when(~F.isnan(c), c)
-    return c.cast("double")
+    return F.expr(number_sql(df, name))
 
 
 def quoted(name: str) -> Column:
     """Column reference that survives dots and spaces in header names."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
 
 
 def row_key(key) -> Column:

@@ -13,42 +13,45 @@ NULL_TOKENS = [
 ]
 
 
-def number_text(x: Column) -> Column:
-    """A double as plain shortest text: ``120.0``, ``0.0005``, ``12345678.9``, ``1e+16``.
+def number_text(x: str) -> str:
+    """SQL for a double as plain shortest text: ``120.0``, ``0.0005``, ``12345678.9``, ``1e+16``.
 
     Spark's own cast switches to E-notation at 1e7 and below 1e-3; findings are
     read by people and compared with other engines, so the switch is moved to
     1e16 and 1e-4.
     """
-    raw = x.cast("string")
-    fixed = F.regexp_replace(x.cast("decimal(38,20)").cast("string"), "0+$", "")
-    fixed = F.when(fixed.endswith("."), F.concat(fixed, F.lit("0"))).otherwise(fixed)
-    mantissa = F.regexp_replace(F.substring_index(raw, "E", 1), "\\.0$", "")
-    exponent = F.substring_index(raw, "E", -1).try_cast("int")
-    scientific = F.concat(
-        mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
-    size = F.abs(x)
-    return (
-        F.when(~raw.contains("E"), raw)
-        .when((size >= 1e-4) & (size < 1e16), fixed)
-        .otherwise(scientific)
-    )
-
-
-def fixed_text(x: Column, places: int) -> Column:
-    """``x`` with a fixed number of decimals and no thousands separators."""
-    return F.format_string(f"%.{places}f", x.cast("double"))
-
-
-def cell_text(c: Column, dtype: str) -> Column:
+    raw = f"CAST({x} AS STRING)"
+    fixed = f"regexp_replace(CAST(CAST({x} AS DECIMAL(38,20)) AS STRING), '0+$', '')"
+    exponent = f"try_cast(substring_index({raw}, 'E', -1) AS INT)"
+    return (f"CASE WHEN NOT contains({raw}, 'E') THEN {raw} "
+            f"WHEN abs({x}) >= 1e-4 AND abs({x}) < 1e16 THEN regexp_replace({fixed}, '[.]$', '.0') "
+            f"ELSE concat(regexp_replace(substring_index({raw}, 'E', 1), '[.]0$', ''), 'e', "
+            f"if({exponent} < 0, '-', '+'), lpad(CAST(abs({exponent}) AS STRING), 2, '0')) END")
+
+
+def fixed_text(x: str, places: int) -> str:
+    """SQL for ``x`` with a fixed number of decimals and no thousands separators."""
+    return f"format_string('%.{places}f', CAST({x} AS DOUBLE))"
+
+
+def cell_text(c: Column, dtype: str, name: str) -> Column:
     """The text form of a cell, NULL for a missing one."""
-    if dtype in ("double", "float"):
-        return number_text(c.cast("double"))
-    return c.cast("string")
+    return F.expr(number_text(f"CAST({sql_name(name)} AS DOUBLE)")) if dtype in ("double", "float") else c.cast("string")
+
+
+def sql_name(name: str) -> str:
+    """A column name that survives dots and spaces."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(text: str) -> str:
+    """A string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def title_words(c: Column) -> Column:
-    """``isolation_forest`` → ``Isolation Forest``; the LOF abbreviation stays upper-case."""
-    return F.regexp_replace(F.initcap(F.replace(c, F.lit("_"), F.lit(" "))), "Lof", "LOF")
+def sql_number(value: float | None) -> str:
+    """A double literal."""
+    if value is None:
+        return "CAST(NULL AS DOUBLE)"
+    text = repr(float(value))
+    return f"{text}D" if text.lstrip("-")[0].isdigit() else f"CAST('{text}' AS DOUBLE)"

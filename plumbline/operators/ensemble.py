@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.schema import number, numeric_columns, row_key, scalar_columns
-from .hits import ALGORITHMS, HIT_COLUMNS, hit, subject, text_of
+from ..functions.schema import number_sql, numeric_columns, row_key, scalar_columns
+from ..functions.text import sql_text
+from .hits import ALGORITHMS, Sql, hit, subject, text_of, written
 from .vocabulary import ENSEMBLE_WEIGHTS, OTHER_WEIGHT, SEVERITY_LEVELS
 
 # Which detector's text and type describe the cell when several flagged it.
@@ -82,9 +83,9 @@ def ensemble(hits: DataFrame, weights=None, min_score: float = 0.3, conflict: st
 def cells_of(df: DataFrame, cols: list[str]) -> Column:
     """The named cells of a row as an array of (name, text, number), to be carried along."""
     numeric = set(numeric_columns(df))
-    return F.array(*[F.struct(
-        F.lit(c).alias("name"), text_of(df, c).alias("text"),
-        (number(df, c) if c in numeric else F.lit(None).cast("double")).alias("num")) for c in cols]).alias("cells")
+    parts = [f"named_struct('name', {sql_text(c)}, 'text', CAST({text_of(df, c) or 'NULL'} AS STRING), "
+             f"'num', CAST({number_sql(df, c) if c in numeric else 'NULL'} AS DOUBLE))" for c in cols]
+    return F.expr(f"array({', '.join(parts)})").alias("cells")
 
 
 def attribute_rows(scores: DataFrame, algo: str) -> DataFrame:
@@ -92,18 +93,17 @@ def attribute_rows(scores: DataFrame, algo: str) -> DataFrame:
 
     ``scores`` is the output of a row detector run with ``carry=[subject(...), cells_of(...)]``.
     """
-    h = hit(F.col("c.name"), algo, algo, F.col("anomaly_score"), F.col("c.text"), F.col("c.num"),
-            kind="multivariate_outlier")
-    return (scores.where("is_anomaly").withColumn("c", F.explode("cells"))
-            .select("row_key", "subject_id", F.inline(F.array(h))).select(*HIT_COLUMNS))
+    h = hit(Sql("c.name"), algo, algo, "anomaly_score", "c.text", "c.num", kind="multivariate_outlier")
+    return written(scores.where("is_anomaly").withColumn("c", F.explode("cells"))
+                   .selectExpr("row_key", "subject_id", f"inline(array({h}))"))
 
 
 def attribute_duplicates(df: DataFrame, key, duplicates: DataFrame, subject_col=None) -> DataFrame:
     """Put a duplicate row's score on every column that matched."""
     keyed = df.select(row_key(key).alias("row_key"), subject(subject_col), cells_of(df, scalar_columns(df)))
-    note = F.concat(F.lit("Row is a duplicate of row "), F.col("duplicate_of").cast("string"), F.lit("."))
-    h = hit(F.col("c.name"), "duplicates", F.col("anomaly_type"), F.col("anomaly_score"), F.col("c.text"),
-            F.col("c.num"), kind=F.col("anomaly_type"), note=note)
-    matched = F.filter("cells", lambda c: F.array_contains(F.col("columns_matching"), c["name"]))
-    return (keyed.join(duplicates, "row_key").withColumn("c", F.explode(matched))
-            .select("row_key", "subject_id", F.inline(F.array(h))).select(*HIT_COLUMNS))
+    h = hit(Sql("c.name"), "duplicates", Sql("anomaly_type"), "anomaly_score", "c.text", "c.num",
+            kind=Sql("anomaly_type"),
+            note=Sql("concat('Row is a duplicate of row ', CAST(duplicate_of AS STRING), '.')"))
+    matched = F.expr("filter(cells, c -> array_contains(columns_matching, c.name))")
+    return written(keyed.join(duplicates, "row_key").withColumn("c", F.explode(matched))
+                   .selectExpr("row_key", "subject_id", f"inline(array({h}))"))

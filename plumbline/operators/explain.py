@@ -1,79 +1,69 @@
-"""Plain-language texts for findings."""
+"""Plain-language texts for findings, as SQL expressions over their columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.text import fixed_text, number_text, title_words
-from .vocabulary import (CONTEXT, DUPLICATE_ACTION, MISSING_ACTION, SEVERITY_ACTIONS, UNKNOWN_CONTEXT)
+from ..functions.text import fixed_text, number_text, sql_text
+from .vocabulary import CONTEXT, DUPLICATE_ACTION, MISSING_ACTION, SEVERITY_ACTIONS, UNKNOWN_CONTEXT
 
 
-def suggested_action(severity: Column, tag: Column) -> Column:
+def _lookup(texts: dict[str, str]) -> str:
+    """A constant map; unlike a chain of conditions it adds no code per entry."""
+    return "map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in texts.items()) + ")"
+
+
+def suggested_action(severity: str, tag: str) -> str:
     """Action by problem tag (missing, duplicate), else by severity."""
-    tag = F.lower(tag)
-    chain = F.when(tag.contains("missing"), MISSING_ACTION).when(tag.contains("duplicate"), DUPLICATE_ACTION)
-    for label, text in SEVERITY_ACTIONS.items():
-        chain = chain.when(F.upper(severity) == label, text)
-    return chain.otherwise("Review flagged entry and verify against source data.")
+    return (f"CASE WHEN lower({tag}) LIKE '%missing%' THEN {sql_text(MISSING_ACTION)} "
+            f"WHEN lower({tag}) LIKE '%duplicate%' THEN {sql_text(DUPLICATE_ACTION)} "
+            f"ELSE coalesce(try_element_at({_lookup(SEVERITY_ACTIONS)}, upper({severity})), "
+            "'Review flagged entry and verify against source data.') END")
 
 
-def context_text(concept: Column, value: Column, low: Column, high: Column, context=None) -> Column:
+def context_text(concept: str, value: str, low: str, high: str, context=None) -> str:
     """What a low or high value of the concept can mean."""
-    name = F.lower(concept)
-    chain = None
-    for known, texts in (context or CONTEXT).items():
-        below = texts.get("low", texts.get("high"))
-        above = texts.get("high", texts.get("low"))
-        side = (F.when(value < low, below).when(value > high, above)
-                .otherwise(F.concat(F.lit("Clinical variation in parameter '"), concept, F.lit("' detected."))))
-        chain = F.when(name == known, side) if chain is None else chain.when(name == known, side)
-    return chain.otherwise(UNKNOWN_CONTEXT)
+    texts = context or CONTEXT
+    lows = _lookup({k: t.get("low", t.get("high")) for k, t in texts.items()})
+    highs = _lookup({k: t.get("high", t.get("low")) for k, t in texts.items()})
+    name = f"lower({concept})"
+    return (f"CASE WHEN NOT map_contains_key({lows}, {name}) THEN {sql_text(UNKNOWN_CONTEXT)} "
+            f"WHEN {value} < {low} THEN try_element_at({lows}, {name}) "
+            f"WHEN {value} > {high} THEN try_element_at({highs}, {name}) "
+            f"ELSE concat('Clinical variation in parameter \\'', {concept}, '\\' detected.') END")
 
 
-def clean_methods(methods: Column) -> Column:
+def clean_methods(methods: str) -> str:
     """``[isolation_forest, lof]`` → ``Isolation Forest, LOF``."""
-    return F.concat_ws(", ", F.transform(methods, title_words))
+    return f"replace(initcap(replace(array_join({methods}, ', '), '_', ' ')), 'Lof', 'LOF')"
 
 
-def score_text(column: Column, value: Column, z: Column, score: Column, methods: Column, low: Column,
-               high: Column) -> Column:
+def score_text(column: str, value: str, z: str, score: str, methods: str, low: str, high: str) -> str:
     """One sentence on how strongly and by what a numeric cell was flagged."""
-    base = F.concat(F.lit("Value "), number_text(value), F.lit(" in column '"), column, F.lit("' flagged by "),
-                    F.size(methods).cast("string"), F.lit(" method(s) ("), clean_methods(methods),
-                    F.lit(") with an anomaly confidence of "), fixed_text(score * 100, 1), F.lit("%."))
-    far = F.when(F.abs(z) > 1.5, F.concat(
-        F.lit(" It is "), fixed_text(F.abs(z), 1), F.lit(" standard deviations "),
-        F.when(z > 0, "above").otherwise("below"), F.lit(" the mean.")))
-    out = F.when((value < low) | (value > high), F.concat(
-        F.lit(" This is outside the expected normal range of ["), fixed_text(low, 2), F.lit(" to "),
-        fixed_text(high, 2), F.lit("].")))
-    return F.concat(base, F.coalesce(far, F.lit("")), F.coalesce(out, F.lit("")))
+    return (f"concat('Value ', {number_text(value)}, ' in column \\'', {column}, '\\' flagged by ', size({methods}), "
+            f"' method(s) (', {clean_methods(methods)}, ') with an anomaly confidence of ', "
+            f"{fixed_text(f'({score}) * 100', 1)}, '%.', "
+            f"CASE WHEN abs({z}) > 1.5 THEN concat(' It is ', {fixed_text(f'abs({z})', 1)}, ' standard deviations ', "
+            f"if({z} > 0, 'above', 'below'), ' the mean.') ELSE '' END, "
+            f"CASE WHEN {value} < {low} OR {value} > {high} THEN concat("
+            f"' This is outside the expected normal range of [', {fixed_text(low, 2)}, ' to ', {fixed_text(high, 2)}, "
+            "'].') ELSE '' END)")
 
 
 def explain(findings: DataFrame, col_map: dict[str, str] | None = None) -> DataFrame:
     """Add value text, clinical significance, suggested action and the score sentence."""
-    column, value = F.col("column_name"), F.col("value_num")
-    concept = column
-    if col_map:
-        chain = F
-        for name, c in col_map.items():
-            chain = chain.when(column == name, c)
-        concept = chain.otherwise(column)
-    low = F.coalesce(F.col("expected_range_min"), F.lit(0.0))
-    high = F.coalesce(F.col("expected_range_max"), F.lit(0.0))
-    text = F.coalesce(F.col("value"), F.lit("NaN"))
-    numeric = F.concat(context_text(concept, value, low, high), F.lit(" Flagged by "),
-                       clean_methods(F.col("methods")), F.lit("."))
-    other = F.concat(F.lit("Value '"), text, F.lit("' in column '"), column, F.lit("' flagged by "),
-                     F.size("methods").cast("string"), F.lit(" methods."))
-    general = F.when(value.isNotNull(), numeric).otherwise(other)
-    tag = F.when(value.isNotNull(), F.col("methods")[0]).otherwise(F.col("anomaly_type"))
-    return findings.select(
-        "row_key", "column_name", "subject_id", text.alias("value"), "expected_range_min", "expected_range_max",
-        "z_score", "anomaly_score", "severity", "detection_method", "anomaly_type",
-        F.coalesce("note", general).alias("clinical_significance"),
-        suggested_action(F.col("severity"), tag).alias("suggested_action"),
-        F.when(value.isNotNull(), score_text(
-            column, value, F.col("z_score"), F.col("combined"), F.col("methods"),
-            F.col("expected_range_min"), F.col("expected_range_max"))).alias("score_text"))
+    concept = f"coalesce(try_element_at({_lookup(col_map)}, column_name), column_name)" if col_map else "column_name"
+    context = context_text("concept", "value_num", "coalesce(expected_range_min, 0.0D)",
+                           "coalesce(expected_range_max, 0.0D)")
+    general = (f"CASE WHEN value_num IS NOT NULL THEN concat({context}, ' Flagged by ', {clean_methods('methods')}, '.') "
+               "ELSE concat('Value \\'', coalesce(value, 'NaN'), '\\' in column \\'', column_name, "
+               "'\\' flagged by ', size(methods), ' methods.') END")
+    tag = "CASE WHEN value_num IS NOT NULL THEN methods[0] ELSE anomaly_type END"
+    sentence = score_text("column_name", "value_num", "z_score", "combined", "methods", "expected_range_min",
+                          "expected_range_max")
+    return findings.selectExpr("*", f"{concept} AS concept").selectExpr(
+        "row_key", "column_name", "subject_id", "coalesce(value, 'NaN') AS value", "expected_range_min",
+        "expected_range_max", "z_score", "anomaly_score", "severity", "detection_method", "anomaly_type",
+        f"coalesce(note, {general}) AS clinical_significance",
+        f"{suggested_action('severity', tag)} AS suggested_action",
+        f"CASE WHEN value_num IS NOT NULL THEN {sentence} END AS score_text")

@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.schema import as_list, quoted, row_key
-from ..functions.text import cell_text
+from ..functions.schema import quoted, row_key
+from ..functions.text import fixed_text, number_text, sql_name, sql_number, sql_text
 
 ALGORITHMS = ["statistical", "clinical_rules", "missing_data", "isolation_forest",
               "lof", "autoencoder", "duplicates"]
@@ -21,34 +21,58 @@ HIT_COLUMNS = ["row_key", "subject_id", "column_name", "value", "value_num", "al
                "score", "z_score", "expected_min", "expected_max", "anomaly_type", "note", "seq"]
 
 
-def hit(
-    column: str | Column, algo: str, method: str | Column, score, value: Column | None = None,
-    value_num: Column | None = None, z=None, lo=None, hi=None, kind="", note=None, seq=0,
-) -> Column:
-    """A struct for one flagged cell; every detector uses the same fields and types."""
-    def lit(x, t):
-        return (x if isinstance(x, Column) else F.lit(x)).cast(t)
-
-    return F.struct(
-        lit(column, "string").alias("column_name"),
-        lit(value, "string").alias("value"),
-        lit(value_num, "double").alias("value_num"),
-        F.lit(algo).alias("algo"),
-        lit(method, "string").alias("method"),
-        lit(score, "double").alias("score"),
-        lit(z, "double").alias("z_score"),
-        lit(lo, "double").alias("expected_min"),
-        lit(hi, "double").alias("expected_max"),
-        lit(kind, "string").alias("anomaly_type"),
-        lit(note, "string").alias("note"),
-        lit(seq, "int").alias("seq"),
-    )
-
-
-def emit(df: DataFrame, key, candidates: list[Column], subject_col: str | None = None) -> DataFrame:
+class Sql(str):
+    """Marks text as an SQL expression where a literal is the default."""
+
+
+def _text(x) -> str:
+    if x is None:
+        return "CAST(NULL AS STRING)"
+    return f"CAST({x} AS STRING)" if isinstance(x, Sql) else sql_text(x)
+
+
+def _number(x) -> str:
+    return f"CAST({x} AS DOUBLE)" if isinstance(x, str) else sql_number(x)
+
+
+def hit(column, algo, method, score, value: str | None = None, value_num: str | None = None, z=None, lo=None, hi=None,
+        kind="", note=None, seq: int = 0, before=None, amount=None) -> str:
+    """SQL of the struct for one flagged cell; every detector uses the same fields and types.
+
+    ``column``, ``algo``, ``method``, ``kind`` and ``note`` are literals unless wrapped in ``Sql``; the
+    numeric arguments are numbers or SQL. ``note`` may hold ``{x}`` (the cell's number), ``{before}`` (a
+    second number), ``{amount}`` (one decimal) and ``{count}`` (whole). They are filled in after the flagged
+    cells have become rows, so the plan formats text once and not once per column and rule; the same goes
+    for a NULL ``value``.
+    """
+    fields = {
+        "column_name": _text(column), "value": _text(None if value is None else Sql(value)),
+        "value_num": _number(value_num), "algo": _text(algo), "method": _text(method), "score": _number(score),
+        "z_score": _number(z), "expected_min": _number(lo), "expected_max": _number(hi), "anomaly_type": _text(kind),
+        "note": _text(note), "seq": str(int(seq)), "__before": _number(before), "__amount": _number(amount)}
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def when(condition: str, then: str) -> str:
+    return f"CASE WHEN {condition} THEN {then} END"
+
+
+def emit(df: DataFrame, key, candidates: list[str], subject_col: str | None = None) -> DataFrame:
     """Turn per-row candidate structs (NULL = not flagged) into hit rows, without a shuffle."""
-    flagged = F.inline(F.array_compact(F.array(*candidates)))
-    return df.select(row_key(key).alias("row_key"), subject(subject_col), flagged).select(*HIT_COLUMNS)
+    flagged = F.expr("inline(array_compact(array(" + ", ".join(candidates) + ")))")
+    return written(df.select(row_key(key).alias("row_key"), subject(subject_col), flagged))
+
+
+def written(flagged: DataFrame) -> DataFrame:
+    """Fill in the value text and the note of flagged cells."""
+    note = "note"
+    for name, text in (("{x}", number_text("value_num")), ("{before}", number_text("__before")),
+                       ("{amount}", fixed_text("__amount", 1)),
+                       ("{count}", "CAST(CAST(__amount AS BIGINT) AS STRING)")):
+        note = f"replace({note}, '{name}', coalesce({text}, ''))"
+    made = {"note": f"CASE WHEN contains(note, '{{') THEN {note} ELSE note END AS note",
+            "value": f"coalesce(value, {number_text('value_num')}) AS value"}
+    return flagged.selectExpr(*[made.get(c, c) for c in HIT_COLUMNS])
 
 
 def subject(subject_col: str | None) -> Column:
@@ -56,23 +80,20 @@ def subject(subject_col: str | None) -> Column:
     return c.cast("string").alias("subject_id")
 
 
-def text_of(df: DataFrame, name: str) -> Column:
-    return cell_text(quoted(name), df.schema[name].dataType.typeName())
+def text_of(df: DataFrame, name: str) -> str | None:
+    """SQL of the cell text where it is a plain cast; None for floating point, whose text is made from the number."""
+    kind = df.schema[name].dataType.typeName()
+    return None if kind in ("double", "float") else f"CAST({sql_name(name)} AS STRING)"
 
 
 def no_hits(df: DataFrame, key) -> DataFrame:
     """An empty hit table with the key type of ``df``."""
-    nothing = F.when(F.lit(False), hit("", "", "", 0.0))
-    return emit(df.filter(F.lit(False)), key, [nothing])
+    return emit(df.where("false"), key, [when("false", hit("", "", "", 0.0))])
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def any_of(conditions: list[str]) -> str:
+    return " OR ".join(f"({c})" for c in conditions)
 
 
 def union_hits(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def key_names(key) -> list[str]:
-    return as_list(key)

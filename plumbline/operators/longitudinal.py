@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.chunks import ordered_chunks
 from ..functions.schema import as_list, number, numeric_columns, quoted
-from ..functions.text import fixed_text, number_text
-from .hits import emit, hit, no_hits, text_of, union_hits
+from ..functions.text import sql_number
+from .hits import emit, hit, no_hits, text_of, when
 from .vocabulary import REPEAT_CONCEPTS
 
 MAX_GROUP = 1_000_000
@@ -104,30 +104,28 @@ def _mapped_numeric(df: DataFrame, col_map: dict[str, str], key, subject_col, ti
     return [c for c in col_map if c in numeric and col_map[c] not in ("subject_id", "timepoint")]
 
 
-def _shift_hit(df, c, i, concept, percent, fold) -> Column:
-    x, p = F.col(f"__x_{i}"), F.col(f"__prev_{i}")
+def _shift_hit(df, c, i, concept, percent, fold) -> str:
+    x, p = f"`__x_{i}`", f"`__prev_{i}`"
     if concept == "weight":
-        change = F.abs(x - p) / F.greatest(p, F.lit(FLOOR))
-        note = F.concat(F.lit("Subject weight changed abnormally by "), fixed_text(change * 100, 1), F.lit("% ("),
-                        number_text(p), F.lit(" kg to "), number_text(x), F.lit(" kg) in consecutive visits."))
-        return F.when(change > percent, hit(
-            c, "clinical_rules", "shift_percent", 0.8, text_of(df, c), x, None, p * (1 - percent), p * (1 + percent),
-            "abnormal_longitudinal_shift", note, 4))
-    ratio = F.when(x > p, x / F.greatest(p, F.lit(FLOOR))).otherwise(p / F.greatest(x, F.lit(FLOOR)))
-    note = F.concat(F.lit(f"Clinical parameter '{c}' experienced a sudden "), fixed_text(ratio, 1),
-                    F.lit("-fold change from "), number_text(p), F.lit(" to "), number_text(x), F.lit("."))
-    return F.when(ratio > fold, hit(
-        c, "clinical_rules", "shift_fold", 0.7, text_of(df, c), x, None, p / fold, p * fold,
-        "abnormal_longitudinal_shift", note, 4))
-
-
-def _repeat_hit(df, c, i, run_length) -> Column:
-    x, run = F.col(f"__x_{i}"), F.col(f"__run_{i}")
-    note = F.concat(F.lit(f"Suspicious repeating values: parameter '{c}' remained exactly "), number_text(x),
-                    F.lit(" for "), run.cast("string"), F.lit(" consecutive visits."))
-    return F.when(run >= run_length, hit(
-        c, "clinical_rules", "repeated_values", 0.7, text_of(df, c), x, None, 0.0, 0.0,
-        "suspicious_repeated_value", note, 5))
+        change = f"(abs({x} - {p}) / greatest({p}, {FLOOR}D))"
+        return when(f"{x} IS NOT NULL AND {p} IS NOT NULL AND {change} > {percent}", hit(
+            c, "clinical_rules", "shift_percent", 0.8, text_of(df, c), x, None, f"{p} * {sql_number(1 - percent)}",
+            f"{p} * {sql_number(1 + percent)}", "abnormal_longitudinal_shift",
+            "Subject weight changed abnormally by {amount}% ({before} kg to {x} kg) in consecutive visits.", 4, p,
+            f"{change} * 100"))
+    ratio = f"(greatest({x}, {p}) / greatest(least({x}, {p}), {FLOOR}D))"
+    return when(f"{x} IS NOT NULL AND {p} IS NOT NULL AND {ratio} > {fold}", hit(
+        c, "clinical_rules", "shift_fold", 0.7, text_of(df, c), x, None, f"{p} / {sql_number(fold)}",
+        f"{p} * {sql_number(fold)}", "abnormal_longitudinal_shift",
+        f"Clinical parameter '{c}' experienced a sudden {{amount}}-fold change from {{before}} to {{x}}.", 4, p, ratio))
+
+
+def _repeat_hit(df, c, i, run_length) -> str:
+    return when(f"`__run_{i}` >= {int(run_length)}", hit(
+        c, "clinical_rules", "repeated_values", 0.7, text_of(df, c), f"`__x_{i}`", None, 0.0, 0.0,
+        "suspicious_repeated_value",
+        f"Suspicious repeating values: parameter '{c}' remained exactly {{x}} for {{count}} consecutive visits.", 5,
+        None, f"`__run_{i}`"))
 
 
 def longitudinal(

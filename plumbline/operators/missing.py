@@ -5,29 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.schema import as_list, number, numeric_columns, quoted, row_key, scalar_columns
-from ..functions.text import fixed_text, number_text
-from .hits import HIT_COLUMNS, any_of, emit, hit, no_hits, subject, text_of, union_hits
+from ..functions.schema import as_list, number_sql, numeric_columns, row_key, scalar_columns
+from ..functions.text import fixed_text, sql_name, sql_text
+from .hits import Sql, any_of, emit, hit, no_hits, subject, text_of, union_hits, when, written
 from .longitudinal import with_history
 from .vocabulary import POSITIVE_PATTERNS
 
 HIGH_RATE, SEVERE_RATE = 0.05, 0.20
 
 
-def is_missing(df: DataFrame, name: str) -> Column:
+def missing_sql(df: DataFrame, name: str) -> str:
     """NULL, or NaN in a floating point column."""
-    c = quoted(name)
-    return c.isNull() | F.isnan(c) if df.schema[name].dataType.typeName() in ("double", "float") else c.isNull()
+    c = sql_name(name)
+    return f"({c} IS NULL OR isnan({c}))" if df.schema[name].dataType.typeName() in ("double", "float") \
+        else f"{c} IS NULL"
+
+
+def is_missing(df: DataFrame, name: str) -> Column:
+    return F.expr(missing_sql(df, name))
 
 
 def missing_counts(df: DataFrame, cols=None) -> DataFrame:
     """Rows and missing cells per column: one wide aggregate, then a reshape of its single row."""
     cols = cols or scalar_columns(df)
     counted = df.agg(F.count(F.lit(1)).alias("rows"),
-                     *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)])
-    entries = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                                 F.col(f"m{i}").alias("missing_count")) for i, c in enumerate(cols)])
-    return counted.select("rows", F.inline(entries))
+                     *[F.expr(f"count_if({missing_sql(df, c)})").alias(f"m{i}") for i, c in enumerate(cols)])
+    entries = ", ".join(f"named_struct('position', {i}, 'column_name', {sql_text(c)}, 'missing_count', m{i})"
+                        for i, c in enumerate(cols))
+    return counted.selectExpr("rows", f"inline(array({entries}))")
 
 
 def name_groups(name: str) -> set[str]:
@@ -39,19 +44,18 @@ def name_groups(name: str) -> set[str]:
 def missing_rate(df: DataFrame, key, cols=None, attach_to_first: bool = False) -> DataFrame:
     """Columns with more than 5 % missing cells. ``row_key`` is NULL, or the smallest key on request."""
     cols = cols or scalar_columns(df)
-    rate = F.col("missing_count") / F.col("rows")
-    level = F.when(rate > SEVERE_RATE, "critical").otherwise("high")
-    note = F.concat(F.lit("Column '"), F.col("column_name"), F.lit("' has a "), level,
-                    F.lit(" missing data rate of "), fixed_text(rate * 100, 1), F.lit("% ("),
-                    F.col("missing_count").cast("string"), F.lit("/"), F.col("rows").cast("string"),
-                    F.lit(" rows missing)."))
-    found = missing_counts(df, cols).where((F.col("rows") > 0) & (rate > HIGH_RATE))
-    h = hit(F.col("column_name"), "missing_data", "missing_rate", F.round(rate, 4),
-            kind="high_missing_rate", note=note, seq=1)
+    rate = "(missing_count / rows)"
+    note = (f"concat('Column \\'', column_name, '\\' has a ', if({rate} > {SEVERE_RATE}, 'critical', 'high'), "
+            f"' missing data rate of ', {fixed_text(rate + ' * 100', 1)}, '% (', missing_count, '/', rows, "
+            "' rows missing).')")
+    found = missing_counts(df, cols).where(f"rows > 0 AND {rate} > {HIGH_RATE}")
+    h = hit(Sql("column_name"), "missing_data", "missing_rate", f"round({rate}, 4)", kind="high_missing_rate",
+            note=Sql(note), seq=1)
     first = df.select(row_key(key).alias("row_key")).agg(F.min("row_key").alias("first_key"))
     at = F.col("first_key") if attach_to_first else F.when(F.lit(False), F.col("first_key"))
-    out = found.crossJoin(F.broadcast(first)).select(at.alias("row_key"), subject(None), F.inline(F.array(h)))
-    return out.select(*HIT_COLUMNS)
+    out = found.crossJoin(F.broadcast(first)).select(  # a one-row side
+        at.alias("row_key"), subject(None), F.expr(f"inline(array({h}))"))
+    return written(out)
 
 
 def missing_cells(df: DataFrame, key, cols=None, subject_col=None) -> DataFrame:
@@ -59,14 +63,13 @@ def missing_cells(df: DataFrame, key, cols=None, subject_col=None) -> DataFrame:
     cols = cols or scalar_columns(df, as_list(key))
     found, tests = [], []
     for c in cols:
-        empty = is_missing(df, c)
-        tests.append(empty)
-        found.append(F.when(empty, hit(
+        tests.append(missing_sql(df, c))
+        found.append(when(tests[-1], hit(
             c, "missing_data", "missing_value", 0.5 if name_groups(c) else 0.2, kind="missing_value",
             note=f"Missing value in clinical parameter '{c}'.", seq=2)))
     if not found:
         return no_hits(df, key)
-    return emit(df.filter(any_of(tests)), key, found, subject_col)
+    return emit(df.where(any_of(tests)), key, found, subject_col)
 
 
 def impossible_values(df: DataFrame, key, cols=None, subject_col=None) -> DataFrame:
@@ -76,30 +79,25 @@ def impossible_values(df: DataFrame, key, cols=None, subject_col=None) -> DataFr
         groups = name_groups(c)
         if not groups:
             continue
-        x = number(df, c)
-        text = number_text(x)
+        x = number_sql(df, c)
 
         def at(score, note):
             return hit(c, "missing_data", "impossible_value", score, text_of(df, c), x,
                        kind="impossible_value", note=note, seq=3)
 
-        rules = [(x < 0, 1.0, F.concat(F.lit("Impossible negative value "), text,
-                                       F.lit(f" detected in clinical parameter '{c}'.")))]
+        rules = [(f"{x} < 0", 1.0, f"Impossible negative value {{x}} detected in clinical parameter '{c}'.")]
         if groups & {"weight", "height", "heart_rate", "bp", "temp"}:
-            rules.append((x == 0, 0.9, F.lit(f"Impossible zero value detected in clinical parameter '{c}'.")))
+            rules.append((f"{x} = 0", 0.9, f"Impossible zero value detected in clinical parameter '{c}'."))
         if "age" in groups:
-            rules.append((x > 120, 0.8, F.concat(F.lit("Out-of-bounds subject age: "), text, F.lit(" years."))))
+            rules.append((f"{x} > 120", 0.8, "Out-of-bounds subject age: {x} years."))
         if "temp" in groups:
-            rules.append((~x.between(25, 45) & ~x.between(77, 113), 1.0,
-                          F.concat(F.lit("Physiologically impossible temperature value: "), text, F.lit("."))))
-        chain = F
-        for test, score, note in rules:
-            chain = chain.when(test, at(score, note))
-        found.append(chain)
+            rules.append((f"NOT ({x} BETWEEN 25 AND 45) AND NOT ({x} BETWEEN 77 AND 113)", 1.0,
+                          "Physiologically impossible temperature value: {x}."))
+        found.append("CASE " + " ".join(f"WHEN {test} THEN {at(score, note)}" for test, score, note in rules) + " END")
         tests.append(any_of([r[0] for r in rules]))
     if not found:
         return no_hits(df, key)
-    return emit(df.filter(any_of(tests)), key, found, subject_col)
+    return emit(df.where(any_of(tests)), key, found, subject_col)
 
 
 def missing_all(df: DataFrame, key, subject_col=None, attach_to_first: bool = False) -> DataFrame:
@@ -113,11 +111,8 @@ def missing_streak(df: DataFrame, key, subject_col, timepoint_col, cols, k: int
     cols = as_list(cols)
     flags = {c: F.when(is_missing(df, c), 1.0).otherwise(0.0) for c in cols}
     history = with_history(df, key, subject_col, timepoint_col, flags, runs=cols, **options)
-    found = []
-    for i, c in enumerate(cols):
-        run = F.col(f"__run_{i}")
-        found.append(F.when((F.col(f"__x_{i}") == 1.0) & (run >= k), hit(
-            c, "missing_data", "missing_streak", 0.5, kind="missing_streak", seq=4,
-            note=F.concat(F.lit("Parameter '"), F.lit(c), F.lit("' missing for "), run.cast("string"),
-                          F.lit(" consecutive visits.")))))
+    found = [when(f"`__x_{i}` = 1.0 AND `__run_{i}` >= {int(k)}", hit(
+        c, "missing_data", "missing_streak", 0.5, kind="missing_streak", seq=4,
+        note=f"Parameter '{c}' missing for {{count}} consecutive visits.", amount=f"`__run_{i}`"))
+        for i, c in enumerate(cols)]
     return emit(history, key, found, subject_col)

@@ -5,22 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.schema import as_list, number, numeric_columns, quoted, row_key
-from ..functions.text import number_text
-from .hits import HIT_COLUMNS, any_of, emit, hit, no_hits, subject, text_of, union_hits
+from ..functions.schema import as_list, number_sql, numeric_columns, quoted
+from ..functions.text import sql_name
+from .hits import Sql, any_of, emit, hit, no_hits, text_of, union_hits
 from .longitudinal import longitudinal
 from .mapping import find_concept, map_columns_rules
 from .vocabulary import CLINICAL_RANGES
 
 
-def _range_test(x: Column, low, high, crit_low, crit_high) -> tuple[Column, Column, Column]:
-    """(below critical, above critical, outside normal); missing critical bounds never fire."""
-    no = F.lit(False)
-    below = x < crit_low if crit_low is not None else no
-    above = x > crit_high if crit_high is not None else no
-    return below, above, (x < low) | (x > high)
-
-
 def range_rules(df: DataFrame, key, col_map: dict[str, str] | None = None, rules=None, subject_col=None) -> DataFrame:
     """Values outside the normal or critical range of their column's concept.
 
@@ -36,28 +28,26 @@ def range_rules(df: DataFrame, key, col_map: dict[str, str] | None = None, rules
         if c not in numeric or concept not in rules:
             continue
         low, high, unit, crit_low, crit_high = rules[concept]
-        x = number(df, c)
-        text = number_text(x)
-        below, above, outside = _range_test(x, low, high, crit_low, crit_high)
-
-        def at(score, kind, note):
-            return hit(c, "clinical_rules", "range_rules", score, text_of(df, c), x, None, low, high, kind, note, 1)
-
-        found.append(
-            F.when(below, at(1.0, "critical_physiological_range", F.concat(
-                F.lit("Critical low value "), text, F.lit(f" {unit} is below safety threshold ({crit_low})."))))
-            .when(above, at(1.0, "critical_physiological_range", F.concat(
-                F.lit("Critical high value "), text, F.lit(f" {unit} is above safety threshold ({crit_high})."))))
-            .when(outside, at(0.8, "out_of_physiological_range", F.concat(
-                F.lit("Out-of-range physiological value "), text,
-                F.lit(f" {unit} (expected [{low}-{high}]).")))))
-        raw = quoted(c)
-        tests += [(raw < min(low, crit_low if crit_low is not None else low)) | (raw < low) | (raw > high)]
-        if crit_high is not None and crit_high < high:
-            tests.append(raw > crit_high)
+        x = number_sql(df, c)
+        critical = "critical_physiological_range"
+        cases = []
+        if crit_low is not None:
+            cases.append((f"{x} < {crit_low}", 1.0, critical,
+                          f"Critical low value {{x}} {unit} is below safety threshold ({crit_low})."))
+        if crit_high is not None:
+            cases.append((f"{x} > {crit_high}", 1.0, critical,
+                          f"Critical high value {{x}} {unit} is above safety threshold ({crit_high})."))
+        cases.append((f"{x} < {low} OR {x} > {high}", 0.8, "out_of_physiological_range",
+                      f"Out-of-range physiological value {{x}} {unit} (expected [{low}-{high}])."))
+        found.append("CASE " + " ".join(f"WHEN {test} THEN " + hit(
+            c, "clinical_rules", "range_rules", score, text_of(df, c), x, None, low, high, kind, note, 1)
+            for test, score, kind, note in cases) + " END")
+        least = low if crit_low is None else max(low, crit_low)
+        most = high if crit_high is None else min(high, crit_high)
+        tests.append(f"{sql_name(c)} < {least} OR {sql_name(c)} > {most}")
     if not found:
         return no_hits(df, key)
-    return emit(df.filter(any_of(tests)), key, found, subject_col)
+    return emit(df.where(any_of(tests)), key, found, subject_col)
 
 
 def range_rules_long(df: DataFrame, key, name_col: str, value_col: str, rules: DataFrame, subject_col=None) -> DataFrame:
@@ -66,30 +56,25 @@ def range_rules_long(df: DataFrame, key, name_col: str, value_col: str, rules: D
     ``rules`` has columns concept, low, high, unit, critical_low, critical_high; it holds one row per
     concept and is broadcast.
     """
-    x = number(df, value_col)
-    r = F.broadcast(rules.select(*[F.col(c).alias(f"__{c}") for c in (
-        "concept", "low", "high", "unit", "critical_low", "critical_high")]))
+    x = number_sql(df, value_col)
+    names = ("concept", "low", "high", "unit", "critical_low", "critical_high")
+    r = F.broadcast(rules.selectExpr(*[f"{c} AS __{c}" for c in names]))
     joined = df.join(r, quoted(name_col) == F.col("__concept"))
-    critical = (x < F.col("__critical_low")) | (x > F.col("__critical_high"))
-    outside = (x < F.col("__low")) | (x > F.col("__high"))
-    critical = F.coalesce(critical, F.lit(False))
-    h = hit(quoted(name_col), "clinical_rules", "range_rules", F.when(critical, 1.0).otherwise(0.8),
-            text_of(df, value_col), x, None, F.col("__low"), F.col("__high"),
-            F.when(critical, "critical_physiological_range").otherwise("out_of_physiological_range"),
-            F.concat(F.when(critical, "Critical value ").otherwise("Out-of-range physiological value "),
-                     number_text(x), F.lit(" "), F.col("__unit"), F.lit(".")), 1)
-    return joined.where(critical | outside).select(
-        row_key(key).alias("row_key"), subject(subject_col), F.inline(F.array(h))).select(*HIT_COLUMNS)
+    critical = f"coalesce({x} < __critical_low OR {x} > __critical_high, false)"
+    h = hit(Sql(sql_name(name_col)), "clinical_rules", "range_rules", f"if({critical}, 1.0, 0.8)",
+            text_of(df, value_col), x, None, "__low", "__high",
+            Sql(f"if({critical}, 'critical_physiological_range', 'out_of_physiological_range')"),
+            Sql(f"concat(if({critical}, 'Critical value ', 'Out-of-range physiological value '), '{{x}} ', __unit, '.')"), 1)
+    return emit(joined.where(f"{critical} OR {x} < __low OR {x} > __high"), key, [h], subject_col)
 
 
 def field_order(df: DataFrame, key, low_col: str, high_col: str, subject_col=None) -> DataFrame:
     """Rows whose lower quantity (diastolic) is not below the upper one (systolic)."""
-    low, high = number(df, low_col), number(df, high_col)
-    note = F.concat(F.lit("Diastolic BP ("), number_text(low),
-                    F.lit(" mmHg) is greater than or equal to Systolic BP ("), number_text(high), F.lit(" mmHg)."))
-    h = hit(low_col, "clinical_rules", "field_order", 0.9, text_of(df, low_col), low, None, 0.0, high - 10,
-            "cross_field_inconsistency", note, 2)
-    return emit(df.filter(low >= high), key, [h], subject_col)
+    low, high = number_sql(df, low_col), number_sql(df, high_col)
+    h = hit(low_col, "clinical_rules", "field_order", 0.9, text_of(df, low_col), low, None, 0.0, f"{high} - 10",
+            "cross_field_inconsistency",
+            "Diastolic BP ({x} mmHg) is greater than or equal to Systolic BP ({before} mmHg).", 2, high)
+    return emit(df.where(f"{low} >= {high}"), key, [h], subject_col)
 
 
 def as_time(df: DataFrame, name: str) -> Column:
@@ -100,11 +85,11 @@ def as_time(df: DataFrame, name: str) -> Column:
 
 def date_order(df: DataFrame, key, start_col: str, end_col: str, subject_col=None) -> DataFrame:
     """Rows that end before they start; empty and unreadable dates are ignored."""
-    note = F.concat(F.lit("End date ("), quoted(end_col).cast("string"), F.lit(") is earlier than start date ("),
-                    quoted(start_col).cast("string"), F.lit(")."))
+    note = (f"concat('End date (', CAST({sql_name(end_col)} AS STRING), ') is earlier than start date (', "
+            f"CAST({sql_name(start_col)} AS STRING), ').')")
     h = hit(end_col, "clinical_rules", "date_order", 0.8, text_of(df, end_col), None, None, 0.0, 0.0,
-            "cross_field_inconsistency", note, 3)
-    return emit(df.filter(as_time(df, end_col) < as_time(df, start_col)), key, [h], subject_col)
+            "cross_field_inconsistency", Sql(note), 3)
+    return emit(df.where(as_time(df, end_col) < as_time(df, start_col)), key, [h], subject_col)
 
 
 def date_columns(names: list[str]) -> tuple[str | None, str | None]:

@@ -11,13 +11,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quantiles
-from ..functions.schema import key_equals, number, numeric_columns, quoted, row_key
+from ..functions.schema import key_equals, number, number_sql, numeric_columns, row_key
 from ..functions.student import grubbs_critical
-from .hits import any_of, emit, hit, no_hits, text_of
+from ..functions.text import sql_name, sql_number
+from .hits import any_of, emit, hit, no_hits, text_of, when
 
 METHODS = ["zscore", "iqr", "modified_zscore", "grubbs", "percentile_bounds"]
 
@@ -47,12 +48,8 @@ def moments(df: DataFrame, cols: list[str]) -> dict[str, ColumnStats]:
     """Count, mean, deviations, extremes and shape of every column in one pass."""
     if not cols:
         return {}
-    aggs = []
-    for i, c in enumerate(cols):
-        x = number(df, c)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.stddev_pop(x).alias(f"p{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"),
-                 F.skewness(x).alias(f"w{i}"), F.kurtosis(x).alias(f"k{i}")]
+    names = ("count", "avg", "stddev_samp", "stddev_pop", "min", "max", "skewness", "kurtosis")
+    aggs = [F.expr(f"{fn}({number_sql(df, c)})") for c in cols for fn in names]
     r = df.agg(*aggs).head()
     return {c: ColumnStats(*r[8 * i: 8 * i + 8]) for i, c in enumerate(cols)}
 
@@ -90,36 +87,43 @@ def extreme_rows(df: DataFrame, key, stats: dict[str, ColumnStats]) -> dict[str,
     if not usable:
         return {}
     k = row_key(key)
-    aggs = [F.min(F.when(F.abs(number(df, c) - F.lit(s.mean)) == F.lit(_largest_deviation(s)), k)).alias(f"k{i}")
-            for i, (c, s) in enumerate(usable.items())]
-    edge = any_of([(quoted(c) <= F.lit(s.min)) | (quoted(c) >= F.lit(s.max)) for c, s in usable.items()])
-    row = df.filter(edge).agg(*aggs).head()
+    aggs = [F.min(F.when(F.expr(f"abs({number_sql(df, c)} - {_n(s.mean)}) = {_n(_largest_deviation(s))}"), k))
+            .alias(f"k{i}") for i, (c, s) in enumerate(usable.items())]
+    edge = any_of([f"{sql_name(c)} <= {_n(s.min)} OR {sql_name(c)} >= {_n(s.max)}" for c, s in usable.items()])
+    row = df.where(edge).agg(*aggs).head()
     return {c: row[i] for i, c in enumerate(usable)}
 
 
-class _Test:
-    """One test on one column: the condition, the hit, and limits outside of which hits can lie."""
+_n = sql_number
 
-    def __init__(self, flagged: Column, score: Column, low: float, high: float, z=None, lo=None, hi=None):
-        self.flagged, self.score, self.low, self.high = flagged, score, low, high
-        self.z, self.lo, self.hi = z, lo, hi
 
+class _Test:
+    """One test on one column as SQL: the condition, the score, and limits outside of which hits lie."""
 
-def _r4(x):
-    return F.round(x, 4) if isinstance(x, Column) else round(x, 4)
+    def __init__(self, flagged: str, score: str, low: float, high: float, z=None, lo=None, hi=None):
+        self.flagged, self.score, self.low, self.high = flagged, f"round({score}, 4)", low, high
+        self.z, self.lo, self.hi = z, lo, hi
 
 
-def _zscore(x, s: ColumnStats, threshold: float) -> _Test | None:
+def _zscore(x: str, s: ColumnStats, threshold: float) -> _Test | None:
     if s.n < 4 or not s.std or math.isnan(s.std):
         return None
-    z = (x - F.lit(s.mean)) / F.lit(s.std)
+    z = f"(({x} - {_n(s.mean)}) / {_n(s.std)})"
     lo, hi = s.mean - threshold * s.std, s.mean + threshold * s.std
     slack = 1e-9 * (abs(s.mean) + s.std)
-    return _Test(F.abs(z) > threshold, F.least(F.abs(z) / (threshold * 2), F.lit(1.0)),
-                 lo + slack, hi - slack, _r4(z), _r4(lo), _r4(hi))
+    return _Test(f"abs({z}) > {_n(threshold)}", f"least(abs({z}) / {_n(threshold * 2)}, 1.0D)",
+                 lo + slack, hi - slack, f"round({z}, 4)", round(lo, 4), round(hi, 4))
+
 
+def _outside(x: str, lo: float, hi: float) -> str:
+    return f"({x} < {_n(lo)} OR {x} > {_n(hi)})"
 
-def _iqr(x, s: ColumnStats, factor: float) -> _Test | None:
+
+def _distance(x: str, lo: float, hi: float, width: float) -> str:
+    return f"(CASE WHEN {x} < {_n(lo)} THEN {_n(lo)} - {x} ELSE {x} - {_n(hi)} END / {_n(width)})"
+
+
+def _iqr(x: str, s: ColumnStats, factor: float) -> _Test | None:
     if s.n < 4:
         return None
     q1, q3 = s.quantile[0.25], s.quantile[0.75]
@@ -127,84 +131,84 @@ def _iqr(x, s: ColumnStats, factor: float) -> _Test | None:
     if width == 0:
         return None
     lo, hi = q1 - factor * width, q3 + factor * width
-    far = F.when(x < lo, F.lit(lo) - x).otherwise(x - F.lit(hi)) / F.lit(width)
-    return _Test((x < lo) | (x > hi), F.least(far / (factor * 2), F.lit(1.0)), lo, hi, None, _r4(lo), _r4(hi))
+    return _Test(_outside(x, lo, hi), f"least({_distance(x, lo, hi, width)} / {_n(factor * 2)}, 1.0D)", lo, hi, None,
+                 round(lo, 4), round(hi, 4))
 
 
-def _modified_zscore(x, s: ColumnStats, threshold: float) -> _Test | None:
+def _modified_zscore(x: str, s: ColumnStats, threshold: float) -> _Test | None:
     if s.n < 4:
         return None
     mad = s.mad if s.mad else s.std
     if not mad:
         return None
-    z = F.lit(0.6745) * (x - F.lit(s.median)) / F.lit(mad)
+    z = f"(0.6745D * ({x} - {_n(s.median)}) / {_n(mad)})"
     reach = threshold * mad / 0.6745
     slack = 1e-9 * (abs(s.median) + reach)
-    return _Test(F.abs(z) > threshold, F.least(F.abs(z) / (threshold * 2), F.lit(1.0)),
-                 s.median - reach + slack, s.median + reach - slack, _r4(z))
+    return _Test(f"abs({z}) > {_n(threshold)}", f"least(abs({z}) / {_n(threshold * 2)}, 1.0D)",
+                 s.median - reach + slack, s.median + reach - slack, f"round({z}, 4)")
 
 
-def _grubbs(x, s: ColumnStats, alpha: float, key) -> _Test | None:
+def _grubbs(x: str, s: ColumnStats, alpha: float, extreme: str) -> _Test | None:
     if s.n < 6 or not s.std:
         return None
     g, critical = _largest_deviation(s) / s.std, grubbs_critical(s.n, alpha)
     if g <= critical:
         return None
     reach = _largest_deviation(s)
-    flagged = (F.abs(x - F.lit(s.mean)) == F.lit(reach)) & key_equals(key, s.extreme_key)
     slack = 1e-9 * (abs(s.mean) + reach)
-    return _Test(flagged, F.lit(min(g / (critical * 2), 1.0)), s.mean - reach + slack, s.mean + reach - slack,
-                 F.lit(_r4(g)), _r4(s.mean - critical * s.std), _r4(s.mean + critical * s.std))
+    return _Test(f"(abs({x} - {_n(s.mean)}) = {_n(reach)} AND {extreme})", _n(min(g / (critical * 2), 1.0)),
+                 s.mean - reach + slack, s.mean + reach - slack, round(g, 4),
+                 round(s.mean - critical * s.std, 4), round(s.mean + critical * s.std, 4))
 
 
-def _percentile_bounds(x, s: ColumnStats, lower: float, upper: float) -> _Test | None:
+def _percentile_bounds(x: str, s: ColumnStats, lower: float, upper: float) -> _Test | None:
     if s.n < 20:
         return None
     lo, hi = s.quantile[lower / 100.0], s.quantile[upper / 100.0]
     width = hi - lo if hi != lo else 1.0
-    far = F.when(x < lo, F.lit(lo) - x).otherwise(x - F.lit(hi)) / F.lit(width)
-    return _Test((x < lo) | (x > hi), F.least(far, F.lit(1.0)), lo, hi, None, _r4(lo), _r4(hi))
+    return _Test(_outside(x, lo, hi), f"least({_distance(x, lo, hi, width)}, 1.0D)", lo, hi, None,
+                 round(lo, 4), round(hi, 4))
 
 
 def _run(df, key, cols, stats, tests, subject_col, best_only=False) -> DataFrame:
-    """Apply ``tests`` (method name → function of column and stats) to every column in one projection."""
+    """Apply ``tests`` (method name → function of column, stats and extreme-row flag) in one projection."""
     candidates, outside = [], []
-    for c in cols:
-        x, s = number(df, c), stats[c]
-        built = [(m, t) for m, t in ((m, f(x, s)) for m, f in tests.items()) if t is not None]
+    marked = {c: key_equals(key, stats[c].extreme_key).alias(f"__extreme_{i}") for i, c in enumerate(cols)
+              if "grubbs" in tests and stats[c].extreme_key is not None}
+    for i, c in enumerate(cols):
+        x, s = number_sql(df, c), stats[c]
+        built = [(m, t) for m, t in ((m, f(x, s, f"`__extreme_{i}`")) for m, f in tests.items()) if t is not None]
         if not built:
             continue
-        outside.append((quoted(c) < F.lit(max(t.low for _, t in built)))
-                       | (quoted(c) > F.lit(min(t.high for _, t in built))))
-        structs = []
-        for m, t in built:
-            h = hit(c, "statistical", m, _r4(t.score), text_of(df, c), x, t.z, t.lo, t.hi, "statistical_outlier")
-            structs.append((t, F.when(t.flagged, h), METHODS.index(m)))
+        outside.append(f"{sql_name(c)} < {_n(max(t.low for _, t in built))} OR "
+                       f"{sql_name(c)} > {_n(min(t.high for _, t in built))}")
+        structs = [(t, m, hit(c, "statistical", m, t.score, text_of(df, c), x, t.z, t.lo, t.hi, "statistical_outlier"))
+                   for m, t in built]
         if best_only and len(structs) > 1:
             # highest rounded score wins; on a tie the earlier method in METHODS
-            ranked = F.array_compact(F.array(*[
-                F.when(t.flagged, F.struct(_r4(t.score).alias("s"), F.lit(-rank).alias("m"), h.alias("h")))
-                for t, h, rank in structs]))
-            candidates.append(F.array_max(ranked)["h"])
+            ranked = ", ".join(when(t.flagged, f"named_struct('s', {t.score}, 'm', {-METHODS.index(m)}, 'h', {h})")
+                               for t, m, h in structs)
+            candidates.append(f"array_max(array_compact(array({ranked}))).h")
         else:
-            candidates += [h for _, h, _ in structs]
+            candidates += [when(t.flagged, h) for t, _, h in structs]
     if not candidates:
         return no_hits(df, key)
-    return emit(df.filter(any_of(outside)), key, candidates, subject_col)
+    near = df.where(any_of(outside))
+    return emit(near.select("*", *marked.values()) if marked else near, key, candidates, subject_col)
 
 
 def zscore(df, key, cols=None, threshold=3.0, subject_col=None, stats=None) -> DataFrame:
     """Values more than ``threshold`` sample deviations from the mean."""
     cols = cols or numeric_columns(df, key)
     stats = stats or moments(df, cols)
-    return _run(df, key, cols, stats, {"zscore": lambda x, s: _zscore(x, s, threshold)}, subject_col)
+    return _run(df, key, cols, stats, {"zscore": lambda x, s, e: _zscore(x, s, threshold)}, subject_col)
 
 
 def iqr(df, key, cols=None, factor=1.5, subject_col=None, stats=None) -> DataFrame:
     """Values beyond ``factor`` interquartile ranges from the quartiles."""
     cols = cols or numeric_columns(df, key)
     stats = stats or column_stats(df, cols, (0.25, 0.75))
-    return _run(df, key, cols, stats, {"iqr": lambda x, s: _iqr(x, s, factor)}, subject_col)
+    return _run(df, key, cols, stats, {"iqr": lambda x, s, e: _iqr(x, s, factor)}, subject_col)
 
 
 def modified_zscore(df, key, cols=None, threshold=3.5, subject_col=None, stats=None) -> DataFrame:
@@ -212,14 +216,14 @@ def modified_zscore(df, key, cols=None, threshold=3.5, subject_col=None, stats=N
     cols = cols or numeric_columns(df, key)
     stats = stats or column_stats(df, cols, (0.5,), mad=True)
     return _run(df, key, cols, stats,
-                {"modified_zscore": lambda x, s: _modified_zscore(x, s, threshold)}, subject_col)
+                {"modified_zscore": lambda x, s, e: _modified_zscore(x, s, threshold)}, subject_col)
 
 
 def grubbs(df, key, cols=None, alpha=0.05, subject_col=None, stats=None) -> DataFrame:
     """The single most extreme value of a column, if it exceeds the Grubbs critical value."""
     cols = cols or numeric_columns(df, key)
     stats = stats or column_stats(df, cols, (), key=key)
-    return _run(df, key, cols, stats, {"grubbs": lambda x, s: _grubbs(x, s, alpha, key)}, subject_col)
+    return _run(df, key, cols, stats, {"grubbs": lambda x, s, e: _grubbs(x, s, alpha, e)}, subject_col)
 
 
 def grubbs_statistic(df: DataFrame, key, cols=None) -> DataFrame:
@@ -245,7 +249,7 @@ def percentile_bounds(df, key, cols=None, lower=1.0, upper=99.0, subject_col=Non
     cols = cols or numeric_columns(df, key)
     stats = stats or column_stats(df, cols, (lower / 100.0, upper / 100.0))
     return _run(df, key, cols, stats,
-                {"percentile_bounds": lambda x, s: _percentile_bounds(x, s, lower, upper)}, subject_col)
+                {"percentile_bounds": lambda x, s, e: _percentile_bounds(x, s, lower, upper)}, subject_col)
 
 
 def statistical(df, key, cols=None, threshold=3.0, factor=1.5, subject_col=None, stats=None) -> DataFrame:
@@ -253,10 +257,10 @@ def statistical(df, key, cols=None, threshold=3.0, factor=1.5, subject_col=None,
     cols = cols or numeric_columns(df, key)
     stats = stats or column_stats(df, cols, key=key, mad=True)
     tests = {
-        "zscore": lambda x, s: _zscore(x, s, threshold),
-        "iqr": lambda x, s: _iqr(x, s, factor),
-        "modified_zscore": lambda x, s: _modified_zscore(x, s, 3.5),
-        "grubbs": lambda x, s: _grubbs(x, s, 0.05, key),
-        "percentile_bounds": lambda x, s: _percentile_bounds(x, s, 1.0, 99.0),
+        "zscore": lambda x, s, e: _zscore(x, s, threshold),
+        "iqr": lambda x, s, e: _iqr(x, s, factor),
+        "modified_zscore": lambda x, s, e: _modified_zscore(x, s, 3.5),
+        "grubbs": lambda x, s, e: _grubbs(x, s, 0.05, e),
+        "percentile_bounds": lambda x, s, e: _percentile_bounds(x, s, 1.0, 99.0),
     }
     return _run(df, key, cols, stats, tests, subject_col, best_only=True)

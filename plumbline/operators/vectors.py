@@ -77,7 +77,9 @@ def blocks(points: DataFrame, d: int, block_rows: int, transform: Callable[[Colu
     curve = F.lit(0).cast("long")
     if scaled:
         bits = min(16, 60 // len(scaled))
-        cells = [F.floor(z * float(2 ** bits - 1)).cast("long") for z in scaled]
+        points = points.select("*", *[F.floor(z * float(2 ** bits - 1)).cast("long").alias(f"__q{i}")
+                                      for i, z in enumerate(scaled)])
+        cells = [F.col(f"__q{i}") for i in range(len(scaled))]
         for bit in range(bits):
             for axis, cell in enumerate(cells):
                 one = F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("long"))
@@ -85,7 +87,7 @@ def blocks(points: DataFrame, d: int, block_rows: int, transform: Callable[[Colu
     ordered = with_row_index(points.withColumn("__curve", curve), [F.col("__curve").asc(), F.col("vec").asc()], "pos",
                              parts=max(1, min(math.ceil(n / 50_000), 10_000)))
     count = max(1, math.ceil(n / block_rows))
-    return ordered.drop("__curve").withColumn("block", F.floor(F.col("pos") * F.lit(count) / F.lit(n)).cast("long"))
+    return ordered.drop("__curve", *[f"__q{i}" for i in range(len(scaled))]).withColumn("block", F.floor(F.col("pos") * F.lit(count) / F.lit(n)).cast("long"))
 
 
 def level_tables(placed: DataFrame, d: int, extra: dict[str, Column], combine: dict[str, Callable]) -> list[DataFrame]:
@@ -116,6 +118,10 @@ def side(level: DataFrame, prefix: str, parent: bool = False) -> DataFrame:
 
 def box_gap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column, d: int) -> Column:
     """Smallest Euclidean distance between two boxes (a point is a box with lo = hi)."""
+    gap = F.zip_with(F.zip_with(lo_a, hi_b, lambda x, y: x - y), F.zip_with(lo_b, hi_a, lambda x, y: x - y),
+                     lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    if d > 8:  # a loop in one expression instead of one expression per dimension
+        return F.sqrt(F.aggregate(gap, F.lit(0.0), lambda total, g: total + g * g))
     total = F.lit(0.0)
     for i in range(d):
         g = F.greatest(lo_a[i] - hi_b[i], lo_b[i] - hi_a[i], F.lit(0.0))
