@@ -30,8 +30,11 @@ def number_text(x: str) -> str:
 
 
 def fixed_text(x: str, places: int) -> str:
-    """SQL for ``x`` with a fixed number of decimals and no thousands separators."""
-    return f"format_string('%.{places}f', CAST({x} AS DOUBLE))"
+    """SQL for ``x`` with a fixed number of decimals and no thousands separators.
+
+    ``format_number`` rounds the exact binary value, ``format_string`` its shortest text.
+    """
+    return f"format_number(CAST({x} AS DOUBLE), '0.{'0' * places}')"
 
 
 def cell_text(c: Column, dtype: str, name: str) -> Column:

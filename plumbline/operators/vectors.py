@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.chunks import with_row_index
 from ..functions.quantiles import exact_quantiles
-from ..functions.schema import as_list, number, numeric_columns, row_key
+from ..functions.schema import as_list, number, number_sql, numeric_columns, row_key
+from ..functions.text import sql_name, sql_number
 
 FAN_BITS = 3
 TOP_NODES = 64
@@ -30,10 +31,11 @@ def vector_frame(df: DataFrame, key, cols=None, vector_col: str | None = None, m
     """(row_key, carried columns, vec): numeric columns with NULLs replaced by the column median (0 if none)."""
     k = row_key(key).alias("row_key")
     if vector_col is not None:
-        return df.select(k, *carry, F.col(vector_col).cast("array<double>").alias("vec"))
+        return df.select(k, *carry, F.expr(f"CAST({sql_name(vector_col)} AS ARRAY<DOUBLE>) AS vec"))
     cols = cols or numeric_columns(df, as_list(key))
     medians = column_medians(df, cols) if medians is None else medians
-    return df.select(k, *carry, F.array(*[F.coalesce(number(df, c), F.lit(medians[c])) for c in cols]).alias("vec"))
+    parts = ", ".join(f"coalesce({number_sql(df, c)}, {sql_number(medians[c])})" for c in cols)
+    return df.select(k, *carry, F.expr(f"array({parts}) AS vec"))
 
 
 def column_medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
@@ -48,46 +50,48 @@ def column_medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
     return out
 
 
-def dimension(frame: DataFrame) -> int:
-    first = frame.select(F.size("vec")).head()
-    return first[0] if first else 0
+def shape_of(frame: DataFrame) -> tuple[int, int]:
+    """(rows, dimensions) of a vector frame."""
+    n, d = frame.selectExpr("size(vec) AS d").agg(F.count(F.lit(1)), F.max("d")).head()
+    return n, d or 0
 
 
-def identity(x: Column) -> Column:
+def identity(x: str) -> str:
     return x
 
 
-def blocks(points: DataFrame, d: int, block_rows: int, transform: Callable[[Column], Column] = identity) -> DataFrame:
-    """Add ``pos`` (position on the curve) and ``block`` to distinct vectors; rows are checkpointed."""
-    axes_of = [transform(F.col("vec")[i]) for i in range(d)]
-    sketch = points.agg(F.count(F.lit(1)).alias("n"), *[
-        F.percentile_approx(a, F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(1.0)), F.lit(1000))
-        for a in axes_of]).head()
-    n, spreads = sketch[0], sketch[1:]
-    scaled = []
-    for a, (lo, q1, mid, q3, hi) in zip(axes_of, spreads):
-        if hi is None or hi <= lo:
-            continue
-        unit = (q3 - q1) or (hi - lo)
+def blocks(points: DataFrame, d: int, block_rows: int, transform: Callable[[str], str] = identity) -> DataFrame:
+    """Add ``pos`` (position on the curve) and ``block`` to distinct vectors; rows are checkpointed.
+
+    ``transform`` maps the SQL of a coordinate to the scale on which nearness is judged.
+    """
+    axes = [transform(f"vec[{i}]") for i in range(d)]
+    n, *spreads = points.agg(F.count(F.lit(1)), *[F.expr(f"stddev_pop({a})") for a in axes]).head()
+    widest = sorted((i for i in range(d) if spreads[i]), key=lambda i: -spreads[i])[:CURVE_AXES]
+    quarters = points.agg(F.count(F.lit(1)), *[F.expr(
+        f"percentile_approx({axes[i]}, array(0.0, 0.25, 0.5, 0.75, 1.0), 1000)") for i in widest]).head()[1:]
+    bits = min(16, 60 // len(widest)) if widest else 0
+    cells = []
+    for i, (lo, q1, mid, q3, hi) in zip(widest, quarters):
+        unit = (q3 - q1) or (hi - lo) or 1.0
         # asinh: even resolution in the bulk, logarithmic in the tails
         low, high = math.asinh((lo - mid) / unit), math.asinh((hi - mid) / unit)
-        z = (F.asinh((a - F.lit(mid)) / F.lit(unit)) - F.lit(low)) / F.lit(high - low)
-        scaled.append(((hi - lo) / unit, F.least(F.greatest(z, F.lit(0.0)), F.lit(1.0))))
-    scaled = [z for _, z in sorted(scaled, key=lambda t: -t[0])[:CURVE_AXES]]
-    curve = F.lit(0).cast("long")
-    if scaled:
-        bits = min(16, 60 // len(scaled))
-        points = points.select("*", *[F.floor(z * float(2 ** bits - 1)).cast("long").alias(f"__q{i}")
-                                      for i, z in enumerate(scaled)])
-        cells = [F.col(f"__q{i}") for i in range(len(scaled))]
-        for bit in range(bits):
-            for axis, cell in enumerate(cells):
-                one = F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("long"))
-                curve = curve.bitwiseOR(F.shiftleft(one, bit * len(cells) + axis))
-    ordered = with_row_index(points.withColumn("__curve", curve), [F.col("__curve").asc(), F.col("vec").asc()], "pos",
+        z = f"(asinh(({axes[i]} - {sql_number(mid)}) / {sql_number(unit)}) - {sql_number(low)}) / {sql_number((high - low) or 1.0)}"
+        cells.append(f"CAST(floor(least(greatest({z}, 0.0D), 1.0D) * {sql_number(2 ** bits - 1)}) AS BIGINT)")
+    width = len(cells)
+    curve = " | ".join(f"shiftleft(shiftright(__q{a}, {bit}) & 1L, {bit * width + a})"
+                       for bit in range(bits) for a in range(width)) or "0L"
+    coded = points.selectExpr("*", *[f"{c} AS __q{i}" for i, c in enumerate(cells)]).selectExpr(
+        *points.columns, f"{curve} AS __curve")
+    ordered = with_row_index(coded, [F.col("__curve").asc(), F.col("vec").asc()], "pos",
                              parts=max(1, min(math.ceil(n / 50_000), 10_000)))
     count = max(1, math.ceil(n / block_rows))
-    return ordered.drop("__curve", *[f"__q{i}" for i in range(len(scaled))]).withColumn("block", F.floor(F.col("pos") * F.lit(count) / F.lit(n)).cast("long"))
+    return ordered.drop("__curve").withColumn("block", F.expr(f"CAST(floor(pos * {count}D / {n}) AS BIGINT)"))
+
+
+def _boxes(d: int, low: str, high: str) -> list:
+    return [F.expr("array(" + ", ".join(f"min({low}[{i}])" for i in range(d)) + ")").alias("lo"),
+            F.expr("array(" + ", ".join(f"max({high}[{i}])" for i in range(d)) + ")").alias("hi")]
 
 
 def level_tables(placed: DataFrame, d: int, extra: dict[str, Column], combine: dict[str, Callable]) -> list[DataFrame]:
@@ -96,16 +100,14 @@ def level_tables(placed: DataFrame, d: int, extra: dict[str, Column], combine: d
     Each has node, lo, hi, n and the ``extra`` aggregates; ``combine`` says how these merge upward.
     """
     boxes = placed.groupBy(F.col("block").alias("node")).agg(
-        F.array(*[F.min(F.col("vec")[i]) for i in range(d)]).alias("lo"),
-        F.array(*[F.max(F.col("vec")[i]) for i in range(d)]).alias("hi"),
-        F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in extra.items()]).persist()
+        *_boxes(d, "vec", "vec"), F.count(F.lit(1)).alias("n"),
+        *[c.alias(name) for name, c in extra.items()]).persist()
     levels, nodes = [boxes], boxes.count()
     while nodes > TOP_NODES:
         below = levels[-1]
         levels.append(below.groupBy(F.shiftright("node", FAN_BITS).alias("node")).agg(
-            F.array(*[F.min(F.col("lo")[i]) for i in range(d)]).alias("lo"),
-            F.array(*[F.max(F.col("hi")[i]) for i in range(d)]).alias("hi"),
-            F.sum("n").alias("n"), *[combine[name](name).alias(name) for name in extra]).persist())
+            *_boxes(d, "lo", "hi"), F.sum("n").alias("n"),
+            *[combine[name](name).alias(name) for name in extra]).persist())
         nodes = levels[-1].count()
     return levels
 
@@ -116,17 +118,14 @@ def side(level: DataFrame, prefix: str, parent: bool = False) -> DataFrame:
     return out.withColumn(f"{prefix}_up", F.shiftright(f"{prefix}_node", FAN_BITS)) if parent else out
 
 
-def box_gap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column, d: int) -> Column:
+def box_gap(lo_a: str, hi_a: str, lo_b: str, hi_b: str, d: int) -> Column:
     """Smallest Euclidean distance between two boxes (a point is a box with lo = hi)."""
-    gap = F.zip_with(F.zip_with(lo_a, hi_b, lambda x, y: x - y), F.zip_with(lo_b, hi_a, lambda x, y: x - y),
-                     lambda x, y: F.greatest(x, y, F.lit(0.0)))
     if d > 8:  # a loop in one expression instead of one expression per dimension
-        return F.sqrt(F.aggregate(gap, F.lit(0.0), lambda total, g: total + g * g))
-    total = F.lit(0.0)
-    for i in range(d):
-        g = F.greatest(lo_a[i] - hi_b[i], lo_b[i] - hi_a[i], F.lit(0.0))
-        total = total + g * g
-    return F.sqrt(total)
+        gap = (f"zip_with(zip_with({lo_a}, {hi_b}, (x, y) -> x - y), zip_with({lo_b}, {hi_a}, (x, y) -> x - y), "
+               "(x, y) -> greatest(x, y, 0.0D))")
+        return F.expr(f"sqrt(aggregate({gap}, 0.0D, (t, g) -> t + g * g))")
+    return F.expr("sqrt(" + " + ".join(
+        f"pow(greatest({lo_a}[{i}] - {hi_b}[{i}], {lo_b}[{i}] - {hi_a}[{i}], 0.0D), 2)" for i in range(d)) + ")")
 
 
 def stack(series) -> np.ndarray:
