@@ -29,6 +29,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for per-row Python work on a table that arrives in fewer partitions than there are cores.
+
+    Few partitions mean little data, so the shuffle is small; larger tables are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ordered_chunks(df: DataFrame, order, parts: int) -> DataFrame:
     """Add ``__chunk``: rows of a lower chunk precede rows of a higher one in ``order``."""
     return reliable(df.repartitionByRange(int(parts), *order).withColumn("__chunk", F.spark_partition_id()))

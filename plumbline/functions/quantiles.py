@@ -1,7 +1,7 @@
 """Exact quantiles that never bring all distinct values to one task.
 
 Spark's ``percentile`` keeps a value→count map per column and merges the maps
-in one reducer. That is right while a column has up to about a million rows.
+in one reducer. That is right while a column has a few hundred thousand rows.
 Above that the target rank is first bracketed with a bounded sketch
 (``percentile_approx``), the bracket is checked by counting, and the step is
 repeated inside the bracket until what is left fits the exact aggregate.
@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_VALUES = 1_000_000
+EXACT_VALUES = 200_000
 SKETCH_ACCURACY = 10_000
 
 

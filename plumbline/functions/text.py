@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The text tokens a pandas CSV reader treats as missing.
 NULL_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -13,14 +10,14 @@ NULL_TOKENS = [
 ]
 
 
-def number_text(x: str) -> str:
+def number_text(x: str, raw: str | None = None) -> str:
     """SQL for a double as plain shortest text: ``120.0``, ``0.0005``, ``12345678.9``, ``1e+16``.
 
     Spark's own cast switches to E-notation at 1e7 and below 1e-3; findings are
     read by people and compared with other engines, so the switch is moved to
-    1e16 and 1e-4.
+    1e16 and 1e-4. ``raw`` names a column that already holds the cast.
     """
-    raw = f"CAST({x} AS STRING)"
+    raw = raw or f"CAST({x} AS STRING)"
     fixed = f"regexp_replace(CAST(CAST({x} AS DECIMAL(38,20)) AS STRING), '0+$', '')"
     exponent = f"try_cast(substring_index({raw}, 'E', -1) AS INT)"
     return (f"CASE WHEN NOT contains({raw}, 'E') THEN {raw} "
@@ -37,11 +34,6 @@ def fixed_text(x: str, places: int) -> str:
     return f"format_number(CAST({x} AS DOUBLE), '0.{'0' * places}')"
 
 
-def cell_text(c: Column, dtype: str, name: str) -> Column:
-    """The text form of a cell, NULL for a missing one."""
-    return F.expr(number_text(f"CAST({sql_name(name)} AS DOUBLE)")) if dtype in ("double", "float") else c.cast("string")
-
-
 def sql_name(name: str) -> str:
     """A column name that survives dots and spaces."""
     return "`" + name.replace("`", "``") + "`"

@@ -64,15 +64,17 @@ def emit(df: DataFrame, key, candidates: list[str], subject_col: str | None = No
 
 
 def written(flagged: DataFrame) -> DataFrame:
-    """Fill in the value text and the note of flagged cells."""
+    """Fill in the value text and the note of flagged cells, each number text being made once."""
+    cast = flagged.selectExpr("*", "CAST(value_num AS STRING) AS __raw_x", "CAST(__before AS STRING) AS __raw_before")
+    texts = cast.selectExpr("*", f"{number_text('value_num', '__raw_x')} AS __x",
+                            f"{number_text('__before', '__raw_before')} AS __p")
     note = "note"
-    for name, text in (("{x}", number_text("value_num")), ("{before}", number_text("__before")),
-                       ("{amount}", fixed_text("__amount", 1)),
+    for name, text in (("{x}", "__x"), ("{before}", "__p"), ("{amount}", fixed_text("__amount", 1)),
                        ("{count}", "CAST(CAST(__amount AS BIGINT) AS STRING)")):
         note = f"replace({note}, '{name}', coalesce({text}, ''))"
     made = {"note": f"CASE WHEN contains(note, '{{') THEN {note} ELSE note END AS note",
-            "value": f"coalesce(value, {number_text('value_num')}) AS value"}
-    return flagged.selectExpr(*[made.get(c, c) for c in HIT_COLUMNS])
+            "value": "coalesce(value, __x) AS value"}
+    return texts.selectExpr(*[made.get(c, c) for c in HIT_COLUMNS])
 
 
 def subject(subject_col: str | None) -> Column:

@@ -128,6 +128,11 @@ def box_gap(lo_a: str, hi_a: str, lo_b: str, hi_b: str, d: int) -> Column:
         f"pow(greatest({lo_a}[{i}] - {hi_b}[{i}], {lo_b}[{i}] - {hi_a}[{i}], 0.0D), 2)" for i in range(d)) + ")")
 
 
+def work_parts(pairs: int, per_task: int = 16) -> int:
+    """Partitions for block pairs: the rows are few and small, the work per pair is not."""
+    return max(1, min(pairs // per_task + 1, 20_000))
+
+
 def stack(series) -> np.ndarray:
     """A pandas column of equal-length lists as a 2-D array."""
     return np.stack(series.to_numpy()) if len(series) else np.zeros((0, 0))

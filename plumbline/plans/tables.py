@@ -17,7 +17,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def visits(spark: SparkSession, folder: str) -> DataFrame:
     """Clinical visits from ``events``: subject, time, vital signs, dates; gaps where the type says so."""
     e = table(spark, folder, "events")
-    k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+    k = F.expr("CAST(substring(props, 7, length(props) - 7) AS INT)")  # props is {"k": number}
     day = F.col("ts").cast("date")
     return e.select(
         "event_id", F.col("user_id").alias("subject_id"), F.col("ts").alias("visit_time"),
