@@ -25,8 +25,8 @@ FIT_ROWS = 12_000
 #: Features that are kept: those whose presence says most about the label in the fitted documents.
 KEPT = 4096
 SMOOTHING = 1.0
-PENALTY = 1e-3
-PASSES = 200
+PENALTY = 1e-5
+PASSES = 300
 
 
 def features(text: str | None) -> np.ndarray:
