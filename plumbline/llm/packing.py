@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ FAN_IN = 8
 #: Share of the capacity from which a bin is nearly full and leaves the tree.
 NEARLY_FULL = 0.995
 #: Text runs without a space or line break whose ids a Python worker remembers; emptied when full.
-REMEMBERED_RUNS = 300_000
+REMEMBERED_RUNS = 600_000
 PIECES = "doc_id {0}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,15 +42,23 @@ class RunIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
+    @classmethod
+    def of_worker(cls, path: str) -> RunIds:
+        """The table of this Python worker, which outlives a task."""
+        if getattr(cls, "kept", (None,))[0] != path:
+            cls.kept = path, cls(path)
+        return cls.kept[1]
+
     def learn(self, texts: list[list[str]]) -> None:
-        fresh = sorted({run for runs in texts for run in runs if run not in self})
+        fresh = set().union(*texts).difference(self)
         if len(self) + len(fresh) > REMEMBERED_RUNS:
             self.clear()
-            fresh = sorted({run for runs in texts for run in runs})
+            fresh = set().union(*texts)
+        fresh = list(fresh)
         for at in range(0, len(fresh), 4096):
             part = fresh[at:at + 4096]
-            for run, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[run] = np.array(code.ids, "<u4").tobytes()
+            codes = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.update((run, pack_ids(f"<{len(code)}I", *code.ids)) for run, code in zip(part, codes, strict=True))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 500):
@@ -63,7 +72,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = RunIds(path)
+        table = RunIds.of_worker(path)
         for batch in batches:
             keys, out = batch.column(0), {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -127,8 +136,8 @@ def _pack_node(level: int, capacity: int, passed: int):
     """Pack the items of a node; an item is a bin of the level below (or a piece), its rows keep their place in it."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bin", "offset"], kind="stable")
-        fresh = (rows["bin"] != rows["bin"].shift()).to_numpy()
-        item = np.cumsum(fresh) - 1
+        old = rows["bin"].to_numpy()
+        item = np.concatenate([[0], np.cumsum(old[1:] != old[:-1])])
         sizes = np.bincount(item, weights=rows["length"]).astype(np.int64)
         order = np.argsort(-sizes, kind="stable")
         bins, offsets, count = best_fit(sizes[order], capacity)
