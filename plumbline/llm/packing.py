@@ -8,6 +8,8 @@ emptiest bins first, so every node of every level is bounded, whatever the lengt
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from struct import pack as pack_ids
@@ -29,6 +31,11 @@ FAN_IN = 8
 NEARLY_FULL = 0.995
 #: Text runs without a space or line break whose ids a Python worker remembers; emptied when full.
 REMEMBERED_RUNS = 600_000
+#: Letters that need no normalising but for their case, then at most one mark: the model can be asked directly.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Byte-level models write a byte as the character of that number if it is visible, else as the next one from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 PIECES = "doc_id {0}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,7 +47,29 @@ class RunIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the tasks
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.marks = dict(zip(("", ".", ","), self._encoded(["", ".", ","]), strict=True))
+        self.plain = _PLAIN if self._plain_words_hold() else None
+
+    def _plain_words_hold(self) -> bool:
+        """Whether the model's own ids of a plain word, in byte characters, are the tokenizer's."""
+        probe = ["Word", "naïveté,", "ÀÿñÇß.", "x"]
+        try:
+            return all(self._plain(_PLAIN.fullmatch(w)) == self._encoded([w])[0] for w in probe)
+        except Exception:  # a model without these calls
+            return False
+
+    def _encoded(self, runs: list[str]) -> list[bytes]:
+        codes = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        return [pack_ids(f"<{len(code)}I", *code.ids) for code in codes]
+
+    def _plain(self, match: re.Match) -> bytes:
+        word, mark = match.groups()
+        word = word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        ids = [t.id for t in self.tokenize(word)]
+        return pack_ids(f"<{len(ids)}I", *ids) + self.marks[mark]
 
     @classmethod
     def of_worker(cls, path: str) -> RunIds:
@@ -54,11 +83,14 @@ class RunIds(dict):
         if len(self) + len(fresh) > REMEMBERED_RUNS:
             self.clear()
             fresh = set().union(*texts)
-        fresh = list(fresh)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at:at + 4096]
-            codes = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.update((run, pack_ids(f"<{len(code)}I", *code.ids)) for run, code in zip(part, codes, strict=True))
+        rest = []
+        for run in fresh:
+            if self.plain and (match := self.plain.fullmatch(run)):
+                self[run] = self._plain(match)
+            else:
+                rest.append(run)
+        for at in range(0, len(rest), 4096):
+            self.update(zip(rest[at:at + 4096], self._encoded(rest[at:at + 4096]), strict=True))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 500):
