@@ -14,6 +14,8 @@ from ..functions.chunks import checkpoint_folder
 
 #: A side is broadcast only when its counted rows times the given width stay below this.
 BROADCAST_BYTES = 32 << 20
+#: Rounds in which the members of a list meet one leader, before those that are still apart meet each other.
+LEADER_ROUNDS = 8
 #: Words whose hash a Python worker remembers; the table is emptied when it is full.
 REMEMBERED_WORDS = 400_000
 #: A-Z to lower case, all other bytes as they are.
@@ -62,27 +64,57 @@ def components(edges: DataFrame) -> DataFrame:
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def linked(posted: DataFrame, confirm: Callable[[DataFrame], DataFrame], sizes: DataFrame | None = None) -> DataFrame:
+def linked(posted: DataFrame, confirm: Callable[[DataFrame], DataFrame], sizes: DataFrame | None = None,
+           overlaps: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components (node, root) of the confirmed links between nodes that share a token of ``posted`` (token, node).
 
-    ``confirm`` keeps the pairs (a, b) that are links. No list is expanded into all its pairs: first every member meets
-    the smallest one only; then members of a list meet where their components still differ, so no link between
-    components is lost. With ``sizes`` (node, n), pairs with 4 * smaller < 3 * larger are left out unseen.
+    ``confirm`` keeps the pairs (a, b) that are links. No list is expanded into all its pairs. In a round every member
+    of a list meets one leader of it, first the one with most postings, if their components still differ; rounds go on
+    while they take away a quarter of the pairs left or more and pairs left outnumber the postings. Then members meet
+    whose components still differ, so no link between components is lost. With ``sizes`` (node, n), pairs whose sets of
+    n elements cannot have a Jaccard similarity of 3 / 4 are left out unseen; ``overlaps`` may say for the nodes that
+    are left how many elements each has in common with any other of them: (node, s).
     """
-    first = posted.groupBy("token").agg(F.min("node").alias("a"))
-    stars = saved(posted.join(first, "token").where("a <> node").select("a", F.col("node").alias("b")).distinct())
-    links = saved(confirm(stars))
-    found = components(links).withColumnRenamed("node", "member")
-    rooted = posted.join(found, F.col("node") == F.col("member"), "left").select(
-        "token", "node", F.coalesce("root", "node").alias("root"))
-    rooted = saved(rooted.withColumn("n", F.lit(1).cast("long")) if sizes is None else rooted.join(sizes, "node"))
-    several = rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    open_lists = rooted.join(several.select("token"), "token", "left_semi").select("token", "node", "n", "root")
-    across = (open_lists.toDF("token", "x", "n_x", "r_x").join(open_lists.toDF("token", "y", "n_y", "r_y"), "token")
-              .where("r_x < r_y and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y)")
-              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-              .join(stars, ["a", "b"], "left_anti"))
-    return saved(components(links.unionAll(saved(confirm(across)))))
+    # of n and m elements, similar sets have 3 / 7 (n + m) in common; s is how many a set has in common at most
+    near = "7 * least(s, s_a) >= 3 * (n + n_a) and root <> r_a"
+    base = posted.withColumn("n", F.lit(1).cast("long")) if sizes is None else posted.join(sizes, "node")
+    weights = posted.groupBy("node").agg(F.count("*").alias("w"))
+    base = saved(base.join(weights, "node").select("token", "node", "n", F.col("n").alias("s"), "w"))
+    total, rooted, links, tested = base.count(), base.withColumn("root", F.col("node")), None, None
+
+    def still_open(rows: DataFrame) -> tuple[DataFrame, int]:
+        """Rows of lists with several components, and how many pairs of members these keep apart."""
+        lists = saved(rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
+            ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0"))
+        return (rows.join(lists.select("token"), "token", "left_semi").select("token", "node", "n", "s", "w", "root"),
+                lists.agg(F.sum("pairs")).first()[0] or 0)
+
+    lists, left = still_open(rooted)
+    for turn in range(LEADER_ROUNDS):
+        order = [F.lit(0) if turn else -F.col("w"), F.xxhash64("node", F.lit(turn)).alias("h")]
+        leader = lists.groupBy("token").agg(F.min(F.struct(*order, "node", "n", "s", "root")).alias("first"))
+        leader = leader.select("token", F.col("first.node").alias("a"), F.col("first.n").alias("n_a"),
+                               F.col("first.s").alias("s_a"), F.col("first.root").alias("r_a"))
+        pairs = lists.join(leader, "token").where(near).select(
+            F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        fresh = saved(confirm(pairs))
+        tested = pairs if tested is None else tested.unionAll(pairs)
+        links = fresh if links is None else links.unionAll(fresh)
+        roots = components(links).withColumnRenamed("node", "member")
+        rooted = saved(base.join(roots, F.col("node") == F.col("member"), "left").select(
+            "token", "node", "n", "s", "w", F.coalesce("root", "node").alias("root")))
+        before, (lists, left) = left, still_open(rooted)
+        if left <= total or 4 * left > 3 * before:
+            break
+    lists = saved(lists.select("token", "node", "n", "s", "root"))
+    if overlaps is not None and left > total:
+        common = overlaps(lists.select("node").distinct())
+        lists = saved(lists.drop("s").join(common, "node").where("4 * s >= 3 * n").select(*lists.columns))
+    across = (lists.join(lists.toDF("token", "a", "n_a", "s_a", "r_a"), "token").where(near + " and root < r_a")
+              .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+              .join(tested, ["a", "b"], "left_anti"))
+    return saved(components(links.unionAll(saved(confirm(saved(across))))))
 
 
 class WordHashes(dict):

@@ -101,6 +101,13 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     return met.where("100 * common >= 75 * (n_a + n_b - common)").select("a", "b")
 
 
+def _overlaps(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """How many shingles of each of ``nodes`` are in others of them: (node, s). A node without any is left out."""
+    each = sets.join(nodes, "node").select("node", F.explode("shingles").alias("shingle"))
+    several = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
+    return each.join(several, "shingle").groupBy("node").agg(F.count("*").alias("s"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -131,7 +138,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sets = saved(texts.mapInArrow(_sets, "set_high long, set_low long, shingles array<bigint>")
                  .join(members, ["set_high", "set_low"]).groupBy("node").agg(F.first("shingles").alias("shingles")))
     found = linked(posted, lambda pairs: _confirmed(pairs, classes, sets),
-                   classes.select("node", F.col("n_shingles").alias("n")))
+                   classes.select("node", F.col("n_shingles").alias("n")), lambda nodes: _overlaps(nodes, sets))
     lowest = (classes.select("node", "doc").join(found, "node").groupBy("root").agg(F.min("doc").alias("lowest")))
     named = classes.select("node", "set_high", "set_low", "doc").join(found, "node", "left").join(lowest, "root", "left")
     named = named.select("set_high", "set_low", F.coalesce("lowest", "doc").alias("lowest"))
