@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import salted_join
 from ..functions.schema import quoted
 from .vocabulary import HEADER_ALIASES, RULE_ALIASES
 
@@ -113,5 +114,8 @@ def match_distinct_names(df: DataFrame, name_col: str, rule: str = "profile", al
 
 
 def standardise_parameters(df: DataFrame, name_col: str, rule: str = "profile", aliases=None) -> DataFrame:
-    """The table with a ``concept`` column; names are matched once each, then joined back."""
-    return df.join(match_distinct_names(df, name_col, rule, aliases).drop("match_score"), name_col, "left")
+    """The table with a ``concept`` column; names are matched once each, then joined back.
+
+    A few names may stand on most rows, so the join is salted.
+    """
+    return salted_join(df, match_distinct_names(df, name_col, rule, aliases).drop("match_score"), [name_col], "left")

@@ -83,8 +83,12 @@ def findings_summary(findings: DataFrame) -> DataFrame:
 
 
 def _latest_marks(findings: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of several marks of a cell the latest by ``reviewed_at`` (if there is one) counts, then the largest."""
     keys = ["analysis_id", "row_key", "column_name"]
-    return findings.join(marks.dropDuplicates(keys), keys, "left")
+    order = [c for c in ("reviewed_at",) if c in marks.columns]
+    values = [c for c in marks.columns if c not in (*keys, *order)]
+    one = marks.groupBy(*keys).agg(F.max(F.struct(*order, *values)).alias("__mark"))
+    return findings.join(one.select(*keys, *(F.col("__mark")[c].alias(c) for c in values)), keys, "left")
 
 
 def mark_reviewed(findings: DataFrame, marks: DataFrame) -> DataFrame:
@@ -202,7 +206,7 @@ def trend(df: DataFrame, findings: DataFrame, key, column: str, timepoint_col: s
     return (rows.join(flagged, "row_key", "left").crossJoin(F.broadcast(band))  # one-row side
             .select("row_key", "timepoint", "value", F.col("__hit").isNotNull().alias("is_anomaly"), "subject_id",
                     "expected_min", "expected_max")
-            .orderBy(F.try_to_number("timepoint", F.lit("S99999999999999999999")).asc_nulls_last(), "timepoint",
+            .orderBy(F.col("timepoint").try_cast("double").asc_nulls_last(), "timepoint",
                      "row_key"))
 
 
@@ -227,8 +231,8 @@ def histogram(df: DataFrame, findings: DataFrame, key, column: str, bins: int =
 
 
 def report_tables(findings: DataFrame, profile: DataFrame, analyses: DataFrame, advice: DataFrame,
-                  algorithms: DataFrame, analysis_id, rows: int = 200, columns: int = 30) -> dict[str, DataFrame]:
-    """The tables of the printed report; the two limits are its page size."""
+                  algorithms: DataFrame, analysis_id, rows: int | None = None, columns: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the printed report; ``rows`` and ``columns`` are the page size of two of them, if wanted."""
     one = analyses.where(F.col("analysis_id") == analysis_id)
     mine = findings.where(F.col("analysis_id") == analysis_id)
     return {
@@ -236,7 +240,7 @@ def report_tables(findings: DataFrame, profile: DataFrame, analyses: DataFrame,
                                         "anomaly_rate_percent", "processing_time_seconds"),
         "severity": severity_breakdown(mine),
         "algorithms": algorithms,
-        "column_statistics": profile.orderBy("position").limit(columns).select(
+        "column_statistics": _page(profile.orderBy("position"), columns).select(
             F.substring("column_name", 1, 25).alias("column_name"), "count", "missing_percent", "mean", "std", "min",
             "max"),
         "findings": report_findings(mine, rows),
@@ -245,9 +249,13 @@ def report_tables(findings: DataFrame, profile: DataFrame, analyses: DataFrame,
     }
 
 
-def report_findings(findings: DataFrame, rows: int = 200) -> DataFrame:
-    """The highest-scoring findings in the report's short form."""
-    return by_score(findings).limit(rows).select(
+def _page(table: DataFrame, rows: int | None) -> DataFrame:
+    return table if rows is None else table.limit(rows)
+
+
+def report_findings(findings: DataFrame, rows: int | None = None) -> DataFrame:
+    """The findings, highest score first, in the report's short form; only the first ``rows`` if given."""
+    return _page(by_score(findings), rows).select(
         "row_key", F.substring("column_name", 1, 20).alias("column_name"), F.substring("value", 1, 15).alias("value"),
         F.round("anomaly_score", 2).alias("anomaly_score"), "severity",
         F.substring("detection_method", 1, 15).alias("detection_method"),

@@ -557,7 +557,7 @@ def oracle_sql() -> dict[str, str]:
           AS total, ceil((SELECT count(*) FROM findings) / 50.0)::BIGINT AS total_pages FROM findings
           ORDER BY anomaly_score DESC, row_key, column_name LIMIT 50 OFFSET 100""",
         "findings_counts": _with(STORED) + """SELECT 'severity' AS section, severity AS name, count(*) AS n FROM stored
-          GROUP BY severity UNION ALL SELECT 'column', column_name[1:5], count(*) FROM stored GROUP BY column_name[1:5]
+          GROUP BY severity UNION ALL SELECT 'column', column_name, count(*) FROM stored GROUP BY column_name
           UNION ALL SELECT 'method', detection_method, count(*) FROM stored GROUP BY detection_method""",
         "reviewed_findings": _with(STORED, "hit AS (SELECT DISTINCT analysis_id, row_key, column_name, TRUE AS h FROM stored "
                                            "WHERE severity = 'CRITICAL')")

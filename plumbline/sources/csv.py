@@ -43,19 +43,25 @@ def _separators_outside_quotes(line: Column, sep: str) -> Column:
 def read_csv(
     spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
     on_bad: str = "skip", null_tokens=None, infer: bool = True, keep_text=(), schema: T.StructType | None = None,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """A table from CSV files with a header line.
 
     Lines with too many fields are skipped (``on_bad="skip"``) or raise (``"error"``); short lines are
     padded with NULL. Null tokens are removed before types are inferred. Columns in ``keep_text``
-    (subject keys such as ``001``) stay text; an explicit ``schema`` replaces inference.
+    (subject keys such as ``001``) stay text; an explicit ``schema`` replaces inference. With
+    ``multi_line`` quoted cells may hold line breaks, and a file is then read by one task; by default
+    this is so if a line leaves a quote open.
     """
     found_sep, header = detect_delimiter(spark, path, [delimiter] if delimiter else None)
     encoding = encoding or detect_encoding(spark, path)
     names = _unique([h or f"column_{i}" for i, h in enumerate(header)])
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
                                + [T.StructField("_bad", T.StringType())])
-    raw = (spark.read.schema(text_schema).option("header", True).option("enforceSchema", True)
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    raw = (spark.read.schema(text_schema).option("header", True).option("multiLine", multi_line).option("enforceSchema", True)
            .option("sep", found_sep).option("encoding", encoding).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_bad").option("columnPruning", False).option("quote", '"').option("escape", '"').csv(path))
     too_long = F.col("_bad").isNotNull() & (_separators_outside_quotes(F.col("_bad"), found_sep) >= len(names))

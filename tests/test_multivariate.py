@@ -68,3 +68,25 @@ def test_pca_reconstruction_of_a_plane(spark):
     x[7, 2] += 9.0
     r = reconstruction(frame(spark, x), "id", kind="pca").toPandas().set_index("row_key")
     assert r["anomaly_score"].idxmax() == 7
+
+
+@pytest.mark.parametrize("n", [51_200, 51_201])
+def test_trees_draw_by_one_rule_at_every_size(spark, n):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.iforest import tree_samples
+    frame_ = spark.range(n).select(F.col("id").alias("row_key"), F.array(F.col("id").cast("double")).alias("vec"))
+    drawn = tree_samples(frame_, n, 100, 256, 42)
+    sizes = [r["n"] for r in drawn.groupBy("tree").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 100 and max(sizes) == 256 and min(sizes) > 200
+    assert drawn.select(F.col("vec")[0]).distinct().count() < 100 * 256  # a row may serve several trees
+
+
+def test_components_come_from_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 1)) @ np.array([[1.0, 0.9, 0.8]]) + 0.1 * rng.normal(size=(400, 3))
+    z = (x - x.mean(0)) / x.std(0)
+    axis = np.linalg.svd(z, full_matrices=False)[2][0]
+    want = ((z - np.outer(z @ axis, axis)) ** 2).mean(1)
+    got = reconstruction(frame(spark, x), "id", kind="pca", ratio=0.34).toPandas().sort_values("row_key")
+    assert np.allclose(got["reconstruction_error"], want, atol=1e-4)

@@ -73,3 +73,17 @@ def test_stream_equals_batch(spark, tmp_path):
     got = score.run_available(score.score_stream(stream, "id", base, ("zscore",)), str(tmp_path / "out"), str(tmp_path / "cp"))
     batch = score.score_stream(df, "id", base, ("zscore",))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and batch.count() == 1
+
+
+def test_quoted_line_breaks_stay_in_their_record(spark, tmp_path):
+    from plumbline.sources.csv import read_csv
+    path = tmp_path / "notes.csv"
+    path.write_text('id,note,x\n1,"first line\nsecond line",2.5\n2,plain,3.5\n')
+    rows = read_csv(spark, str(path)).orderBy("id").collect()
+    assert [(r["note"], r["x"]) for r in rows] == [("first line\nsecond line", 2.5), ("plain", 3.5)]
+
+
+def test_types_are_decided_on_all_values(spark):
+    from plumbline.operators import profile
+    df = spark.createDataFrame([("2024-01-01",)] * 20 + [("word",)] * 30, "d string")
+    assert profile.column_types(df) == {"d": "categorical"}
