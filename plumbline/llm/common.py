@@ -16,6 +16,8 @@ from ..functions.chunks import checkpoint_folder
 BROADCAST_BYTES = 32 << 20
 #: Rounds in which the members of a list meet one leader, before those that are still apart meet each other.
 LEADER_ROUNDS = 8
+#: How often what a node has in common with others is counted anew.
+OVERLAP_ROUNDS = 2
 #: Words whose hash a Python worker remembers; the table is emptied when it is full.
 REMEMBERED_WORDS = 400_000
 #: A-Z to lower case, all other bytes as they are.
@@ -109,10 +111,16 @@ def linked(posted: DataFrame, confirm: Callable[[DataFrame], DataFrame], sizes:
             break
     lists = saved(lists.select("token", "node", "n", "s", "root"))
     if overlaps is not None and left > total:
-        common = overlaps(lists.select("node").distinct())
-        lists = saved(lists.drop("s").join(common, "node").where("4 * s >= 3 * n").select(*lists.columns))
-    across = (lists.join(lists.toDF("token", "a", "n_a", "s_a", "r_a"), "token").where(near + " and root < r_a")
-              .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        for _ in range(OVERLAP_ROUNDS):  # nodes that drop out have nothing in common with the others any more
+            common = overlaps(lists.select("node").distinct())
+            lists = saved(lists.drop("s").join(common, "node").where("4 * s >= 3 * n").select(*lists.columns))
+    # a pair meets in the first of its common lists only
+    tokens = lists.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("t"))
+    lists = saved(lists.join(tokens, "node").select(*lists.columns, "t"))
+    other = lists.toDF("token", "a", "n_a", "s_a", "r_a", "t_a")
+    across = (lists.join(other, (lists["token"] == other["token"]) & F.expr(near + " and root < r_a")
+                         & (F.element_at(F.array_intersect(lists["t"], other["t_a"]), 1) == lists["token"]))
+              .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
               .join(tested, ["a", "b"], "left_anti"))
     return saved(components(links.unionAll(saved(confirm(saved(across))))))
 

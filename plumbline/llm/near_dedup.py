@@ -1,8 +1,8 @@
 """MinHash near-duplicate documents by an inverted join on signature coordinates (operator 1).
 
 Documents are posted under each (coordinate, value) of their signature. Two documents whose word shingles have a
-Jaccard similarity of at least 0.75 agree on at least ``MATCHES`` of ``COORDINATES`` coordinates but for a chance below
-1e-7. Prefix merging: with coordinates ordered by how many documents share the value, rarest first, such a pair must
+Jaccard similarity of at least 0.75 agree on at least ``MATCHES`` of ``COORDINATES`` coordinates but for a chance of
+1e-5 at a similarity of just 0.75, and far less above. Prefix merging: with coordinates ordered by how many documents share the value, rarest first, such a pair must
 meet in the first ``COORDINATES - MATCHES + 1`` of both documents, so only those lists are merged. Skip merging: the
 remaining, longest lists are never read; the count of a pair that has met is completed by looking its two signatures
 up. Pairs above the match threshold are confirmed on their full shingle sets.
@@ -26,7 +26,7 @@ from .common import LOWER, WordHashes, linked, saved, small, windows
 
 SHINGLE_WORDS = 5
 COORDINATES = 64
-MATCHES = 28
+MATCHES = 32
 #: Documents per Arrow batch that goes back, so that sets of long texts stay small in memory.
 BATCH = 1000
 _SEED = np.random.default_rng(20240).integers(0, 2**32, (2, COORDINATES), dtype=np.uint32)
