@@ -96,6 +96,17 @@ def test_lines(spark, empty):
     assert line_dedup.without_duplicate_lines(empty).count() == 0
 
 
+def test_shingles_of_lines_over_several_blocks(spark):
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("ab c\U0001F600ß") for _ in range(n)) for n in (20, 60, 63, 64, 65, 67, 68, 69, 128, 132, 700)]
+    df = spark.createDataFrame([(x, x[1:] + "z") for x in lines], "x string, y string")
+    x, y = line_dedup._shingles("x"), line_dedup._shingles("y")
+    got = df.select("x", "y", F.size(x).alias("n"), F.size(F.array_intersect(x, y)).alias("common")).collect()
+    for r in got:
+        a, b = ({t[i:i + 5] for i in range(len(t) - 4)} for t in (r["x"], r["y"]))
+        assert (r["n"], r["common"]) == (len(a), len(a & b))
+
+
 def test_lines_run_no_python(docs):
     plan = line_dedup.without_duplicate_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
