@@ -96,6 +96,33 @@ def test_lines(spark, empty):
     assert line_dedup.without_duplicate_lines(empty).count() == 0
 
 
+def alike(x, y):
+    a, b = ({t[i:i + 5] for i in range(len(t) - 4)} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def lines_gone(spark, pairs):
+    rows = [(2 * i + side, text) for i, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    got = by_id(line_dedup.without_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    return [got[2 * i]["n_dropped"] + got[2 * i + 1]["n_dropped"] for i in range(len(pairs))]
+
+
+def test_lines_meet_whatever_their_number_of_words(spark):
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    pairs = []
+    for _ in range(10):
+        seven = " ".join(letters(9) for _ in range(7))
+        pairs.append((seven, seven.replace(" ", " " * 8, 1)))
+        url, few = "http://" + letters(300), " ".join(letters(3) for _ in range(3))
+        pairs.append((f"{few} {url}", f"{few} {' '.join(letters(3) for _ in range(9))} {url}"))
+        url = "/" + letters(300)
+        pairs.append((f"{few} {few} {url}", f"{few} {few} {' '.join(letters(2) for _ in range(7))} {url}"))
+    counts = [(x.count(" ") + 1, y.count(" ") + 1) for x, y in pairs]
+    assert all(a <= 7 and b >= 13 for a, b in counts) and all(alike(x, y) >= 0.75 for x, y in pairs)
+    assert lines_gone(spark, pairs) == [1] * len(pairs)
+
+
 def test_shingles_of_lines_over_several_blocks(spark):
     rng = random.Random(9)
     lines = ["".join(rng.choice("ab c\U0001F600ß") for _ in range(n)) for n in (20, 60, 63, 64, 65, 67, 68, 69, 128, 132, 700)]
