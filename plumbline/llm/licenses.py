@@ -1,9 +1,10 @@
 """License scans by a positional index of rare words (operator 6), in DataFrame functions only.
 
-Templates are licence notices and short phrases. An index maps each of their words to (template, position). In every
-file only the words of a template with the highest inverse document frequency are looked up; their places, shifted by
-the position in the template, say where the template may begin. Begins are then held against all words of the template
-at their relative positions, and a label needs its mandatory key phrases in their places there.
+Templates are licence notices and short phrases. In every file only words of a template with the highest inverse
+document frequency are looked up; all their places, shifted by the position in the template, say where the template may
+begin. Begins are then held against all words of the template at their relative positions, and a label needs its
+mandatory key phrases in their places there. A begin that counts has every mandatory word in its place, so the rarest of
+them finds all such begins; a notice without mandatory words is looked up by as many words as a begin cannot all lack.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that are looked up for a template: the rarest of it that the file has, tried in this many steps.
-LOOKED_UP = 3
 #: Share of a notice's summed IDF that has to stand in its place.
 COVERED = 0.6
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -96,17 +95,27 @@ def _begins(word: str, places: list[int]) -> Column:
     return shifted[0] if len(shifted) == 1 else F.array_distinct(F.concat(*shifted))
 
 
+def _looked_up(template: Template, weights: dict[str, float]) -> list[int]:
+    """Positions of the template of which every begin that counts has at least one in its place."""
+    words, required = template.words, template.required()
+    rarest = sorted(required or range(len(words)), key=lambda i: (-weights[words[i]], words[i], i))
+    if required:
+        return rarest[:1]
+    taken, spare = [], (1 - COVERED) * sum(weights[w] for w in words)
+    for i in rarest:
+        taken.append(i)
+        spare -= weights[words[i]]
+        if spare < -1e-9:
+            break
+    return taken
+
+
 def _found(template: Template, weights: dict[str, float]) -> Column:
     """Array of (begin, cover) of a template in the file: cover is the share of its IDF that stands in its place."""
     words, total = template.words, sum(weights[w] for w in template.words)
     required = template.required()
-    rarest = sorted(set(words), key=lambda w: (-weights[w], w))
-    begins = None
-    # a base phrase has all its words, so its rarest one is enough
-    for word in reversed(rarest[:1] if template.base else rarest[:LOOKED_UP]):
-        own = _begins(word, [i for i, w in enumerate(words) if w == word])
-        chosen = F.when(F.array_contains("present", word), own)
-        begins = chosen.otherwise(begins) if begins is not None else chosen.otherwise(F.array().cast("array<int>"))
+    own = [_begins(words[p], [p]) for p in _looked_up(template, weights)]
+    begins = own[0] if len(own) == 1 else F.array_distinct(F.concat(*own))
 
     def stands(s: Column, i: int) -> Column:
         return F.get("words", s + i).eqNullSafe(F.lit(words[i]))
@@ -148,7 +157,7 @@ def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id",
     each = []
     for t in templates:
         found = F.transform(_found(t, weights), _named(t))
-        rare = sorted(set(t.words), key=lambda w: (-weights[w], w))[:1 if t.base else LOOKED_UP]
+        rare = sorted({t.words[i] for i in _looked_up(t, weights)})
         each.append(F.when(F.arrays_overlap("present", F.array(*map(F.lit, rare))), found).otherwise(
             F.array().cast(kind)))
     matches = F.when(F.size("present") > 0, F.concat(*each)).otherwise(F.array().cast(kind))

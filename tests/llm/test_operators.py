@@ -185,6 +185,28 @@ def test_licenses(docs, texts, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_notices_whose_rarest_word_stands_elsewhere(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    rows = [(1, "It was released in May. Released under the MIT License, unlike what was released before."),
+            (2, "Modification is welcome. " + bsd.replace("with or without modification, ", "")),
+            (3, "permitted or not: " + bsd), (4, "distributed under the MIT License; all that was released"),
+            (5, "redistribution permitted without modification"), (6, "a licence of the mit, not the MIT license")]
+    rows += [(i, "the use of this work and source code under version 2 of the apache license") for i in range(10, 20)]
+    scan = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    weights = licenses.word_weights(spark.createDataFrame(rows, "doc_id long, text string"), "text")
+    got = {r["doc_id"]: {(m["label"], m["begin"], round(m["cover"], 9)) for m in r["matches"]} for r in scan.collect()}
+    for doc, text in rows:
+        words, want = [w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()], set()
+        for t in licenses.TEMPLATES:
+            for s in range(-len(t.words), len(words)):
+                fits = [i for i, w in enumerate(t.words) if 0 <= s + i < len(words) and words[s + i] == w]
+                cover = sum(weights[t.words[i]] for i in fits) / sum(weights[w] for w in t.words)
+                if t.required() <= set(fits) and (t.base or cover >= licenses.COVERED):
+                    want.add((t.label, s, round(min(cover, 1.0), 9)))
+        assert got[doc] == want, text
+    assert "mit" in {m[0] for m in got[1]} and "bsd" in {m[0] for m in got[3]}
+
+
 def test_repeats(docs, texts, empty):
     got = by_id(suffix_dedup.without_repeats(docs))
     for (doc, _), want in zip(texts, brute.repeats([t for _, t in texts]), strict=True):
