@@ -313,6 +313,36 @@ def test_pipeline_stages(spark):
     assert len(rows) > 0 and len(names) == 5
 
 
+def test_pipeline_stages_judge_rows_by_themselves(spark):
+    import corpus_pipeline as pipeline
+    rng = random.Random(21)
+    clean = [prose(rng, 30) for _ in range(6)]
+    near = clean[1].replace(clean[1].split()[-1], "changed")  # two shingles of 26 differ at most
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.length("text").desc()).first()["text"]
+    labelled = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    toxic = labelled.where("toxic = 1").orderBy("n_chars").first()["text"]
+
+    def left(stage, rows):
+        table = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows],
+                                      "doc_id long, text string, lang string, source string, n_chars long")
+        got = stage(spark, table, SF)
+        assert got.columns == pipeline.COLUMNS
+        return sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    rows = [(None, clean[0]), (None, clean[2]), (7, clean[3]), (7, clean[4])]
+    copies = [(None, clean[1]), (None, near), (7, clean[1]), (7, clean[1]), (None, clean[0])]
+    assert left(pipeline.near_copies, rows + copies) == order([*rows, (7, clean[1])])
+    assert left(pipeline.duplicate_lines, [*rows, (None, clean[0]), (7, clean[3])]) == order(rows)
+    assert left(pipeline.benchmark_texts, [*rows, (None, item), (7, item)]) == order(rows)
+    model = pipeline.toxicity.fit
+    pipeline.toxicity.fit = lambda docs, labels: model(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+    try:
+        assert left(pipeline.toxic_documents, [*rows, (None, toxic), (7, toxic)]) == order(rows)
+    finally:
+        pipeline.toxicity.fit = model
+
+
 def test_whole_pipeline_equals_its_stages(spark):
     import corpus_pipeline as pipeline
     got = pipeline.run(spark, SF)
