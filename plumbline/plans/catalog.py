@@ -620,10 +620,8 @@ def score_sentences(spark, folder):
 @query
 def full_analysis(spark, folder):
     """every detector on the visits."""
-    v = visits(spark, folder).drop("start_date", "end_date", "site")
-    config = AnalysisConfig(subject_col="subject_id", timepoint_col="visit_time",
-                            columns_to_analyze=["heart_rate", "systolic_bp", "weight"])
-    return analyze(v, "event_id", config).findings.drop("score_text")
+    config = AnalysisConfig(subject_col="subject_id", timepoint_col="visit_time")
+    return analyze(visits(spark, folder), "event_id", config).findings.drop("score_text")
 
 
 # ---- stored results ----------------------------------------------------------------------------
@@ -758,7 +756,7 @@ def severity_shares(spark, folder):
 @query
 def severity_counts(spark, folder):
     """the severity section alone, zeros kept."""
-    return quality.by_severity(stored_findings(spark, folder).where("detection_method = 'none'")).select("severity", "n")
+    return quality.by_severity(stored_findings(spark, folder)).select("severity", "n")
 
 
 @query
