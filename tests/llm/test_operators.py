@@ -123,6 +123,19 @@ def test_lines_meet_whatever_their_number_of_words(spark):
     assert lines_gone(spark, pairs) == [1] * len(pairs)
 
 
+def test_lines_with_a_long_unbroken_part_meet(spark):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    pairs = []
+    while len(pairs) < 40:
+        words, path = [letters(3) for _ in range(13)], "/" + letters(300)
+        changed = [letters(3) if rng.random() < 0.8 else w for w in words]
+        pair = " ".join([*words, path]), " ".join([*changed, path])
+        if 0.75 <= alike(*pair) < 0.85:
+            pairs.append(pair)
+    assert lines_gone(spark, pairs) == [1] * len(pairs)
+
+
 def test_shingles_of_lines_over_several_blocks(spark):
     rng = random.Random(9)
     lines = ["".join(rng.choice("ab c\U0001F600ß") for _ in range(n)) for n in (20, 60, 63, 64, 65, 67, 68, 69, 128, 132, 700)]
