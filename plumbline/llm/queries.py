@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, line_dedup, near_dedup, order_minhash, packing, suffix_dedup, surrogates, \
-    toxicity
+from . import chat, conversations, decontaminate, licenses, line_dedup, merkle, near_dedup, order_minhash, packing, \
+    sentence_pieces, suffix_dedup, surrogates, toxicity
 
 #: Key of the surrogates that the query draws; a parameter of the operator, secret in real use.
 EXAMPLE_KEY = b"example key, not a secret"
@@ -19,6 +19,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,14 +80,73 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.with_surrogates(_table(spark, sf_dir, "documents"), EXAMPLE_KEY)
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.encode(_table(spark, sf_dir, "documents"), piece_model_path())
+    back = sentence_pieces.decode(coded, piece_model_path())
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    folded_text = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = merkle.digest(*map(F.col, columns[:-1]), F.when(altered, folded_text).otherwise(F.col("text")))
+    made = merkle.manifest(_table(spark, sf_dir, "documents"), columns, keep={"tampered": tampered})
+    found = merkle.folded(merkle.proofs(made), "keep_tampered")
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with the faults that operator 13 is asked to repair; nulls are one space."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), F.expr(
+        "crc32(cast(concat(coalesce(string(conv_id), ' '), ':', coalesce(string(turn), ' ')) as binary)) % 20").alias("c"))
+    text = F.when(F.col("c") == 1, "").when(F.col("c") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return rows.where("c <> 0").select(
+        "conv_id", "turn", F.when(F.col("c") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(F.col("c") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    made = conversations.repair(damaged(turns))
+    every = turns.select("conv_id").distinct().toDF("conv")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    parts = made.faults.toDF("conv_f", *made.faults.columns[1:]), conversations.read_out(made.rows)
+    both = every.join(parts[0], F.col("conv").eqNullSafe(F.col("conv_f")), "left").join(
+        parts[1], F.col("conv").eqNullSafe(F.col("conv_id")), "left")
+    return both.select(F.col("conv").alias("conv_id"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+                       F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_packing, op6_licenses,
-                            op7_suffix_dedup, op8_decontamination, op9_chat_format, op10_surrogates)}
+                            op7_suffix_dedup, op8_decontamination, op9_chat_format, op10_surrogates, op11_sentence_pieces,
+                            op12_merkle_manifest, op13_conversation_repair)}
 
 _WORDS = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}'), lambda w: w <> '')"
 _SPACE_WORDS = _WORDS.format("coalesce(text, '')", r"[\x20\x09-\x0D]+")
 _PLAIN_WORDS = _WORDS.format("coalesce(text, '')", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
+#: CRC-32 of ASCII texts: a table by bytes, and a fold over the characters.
+_CRC_TABLE = """
+        crc_steps(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL
+                               SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+                               FROM crc_steps WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS crc FROM crc_steps WHERE k = 8)"""
+_CRC = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT),
+              lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])))"""
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in (
+        "doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
 ORACLE_SQL = {
     "op1_near_duplicates": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
@@ -134,4 +198,92 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
                coalesce(sum(upto) FILTER (role = 'assistant' OR closing), 0)::BIGINT AS formatted_chars
         FROM g GROUP BY conv_id""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        x AS (SELECT *, CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 3 = 0 THEN translate(text,
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM documents, crc),
+        d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf_sql("text")} AS leaf, {_leaf_sql("other")} AS tampered
+              FROM x),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+                   count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS id FROM d),
+        low(g, level, idx, h, n) AS (
+            SELECT g, 0, idx, leaf, n FROM leaves UNION ALL
+            SELECT g, any_value(level) + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8)
+            FROM low WHERE n > 1 GROUP BY g, idx // 8),
+        sub AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+        high(level, idx, h, n) AS (
+            SELECT 0, idx, subroot, n FROM sub UNION ALL
+            SELECT any_value(level) + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8)
+            FROM high WHERE n > 1 GROUP BY idx // 8),
+        node AS (SELECT 0 AS stage, g, level, idx, h FROM low WHERE n > 1
+                 UNION ALL SELECT 1, '', level, idx, h FROM high WHERE n > 1),
+        way AS (SELECT id, 0 AS stage, g, l AS level, idx >> (3 * l) AS idx FROM leaves, range(0, 20) AS r(l)
+                UNION ALL SELECT id, 1, '', l, sub.idx >> (3 * l) FROM leaves JOIN sub USING (g), range(0, 20) AS r(l)),
+        run AS (SELECT id, stage, level, node.idx, node.idx = way.idx AS own, h,
+                dense_rank() OVER (PARTITION BY id ORDER BY stage, level) AS k
+                FROM way JOIN node USING (stage, g, level) WHERE node.idx >> 3 = way.idx >> 3),
+        proof AS (SELECT id, string_agg(h, '' ORDER BY stage, level, idx) FILTER (NOT own) AS proof FROM run GROUP BY id),
+        fold(id, k, h) AS (
+            SELECT id, 0::BIGINT, tampered FROM leaves UNION ALL
+            SELECT fold.id, any_value(run.k), sha256(string_agg(CASE WHEN own THEN fold.h ELSE run.h END, '' ORDER BY run.idx))
+            FROM fold JOIN run ON run.id = fold.id AND run.k = fold.k + 1 GROUP BY fold.id),
+        found AS (SELECT id, arg_max(h, k) AS folded_root FROM fold GROUP BY id),
+        root AS (SELECT h AS root FROM high WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+               folded_root = root AS verified
+        FROM leaves JOIN sub USING (g) JOIN found USING (id) LEFT JOIN proof USING (id), root""",
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+              {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS c
+              FROM conversations, crc),
+        y AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role, CASE c WHEN 1 THEN ''
+              WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+              unnest(CASE WHEN c = 3 THEN [0, 1] ELSE [0] END) AS copy FROM x WHERE c <> 0),
+        z AS (SELECT *, coalesce('=' || conv_id::VARCHAR, '') AS g, left(role, 1) AS ini,
+              rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed,
+              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM y),
+        r AS (SELECT *, CASE WHEN trimmed = '' THEN 'b' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1
+              THEN 'd' WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+              ini || lead(ini) OVER (PARTITION BY g ORDER BY i) AS pair FROM z),
+        counts AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                   count(*) FILTER (fault = 't') AS truncated,
+                   count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+                   FROM r GROUP BY g),
+        goes(a, b) AS (VALUES ('0', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+        put(a, b, k) AS (SELECT a, a, 0 FROM goes UNION ALL
+                         SELECT put.a, goes.b, k + 1 FROM put JOIN goes ON goes.a = put.b WHERE k < 3),
+        kinds AS (SELECT DISTINCT CASE WHEN ini IN ('s', 'u', 'a') THEN ini ELSE '' END AS ini, fault FROM r),
+        edits AS (
+            SELECT ini, fault, s.a, s.a AS b, 3 AS cost, 'D' AS edit FROM kinds, (SELECT a FROM goes) AS s
+            UNION ALL SELECT ini, fault, a, b, 2 + (fault = 't')::INT, 'R' FROM kinds, goes WHERE fault IN ('', 't')
+            UNION ALL SELECT ini, fault, a, b, (fault = 't')::INT, 'K' FROM kinds, goes WHERE fault IN ('', 't') AND b = ini
+            UNION ALL SELECT ini, fault, '0', 's', (fault = 't')::INT, 'K' FROM kinds WHERE fault IN ('', 't') AND ini = 's'),
+        moves AS (SELECT ini, fault, put.a, edits.b, put.k * 2 + cost AS cost, repeat('I', put.k) || edit AS edit
+                  FROM put JOIN edits ON edits.a = put.b),
+        best(g, i, s, best) AS (
+            SELECT g, 0::BIGINT, '0', {{'c': 0::BIGINT, 'e': ''}} FROM counts UNION ALL
+            SELECT r.g, any_value(r.i), m.b, min({{'c': best.best.c + m.cost, 'e': best.best.e || m.edit}})
+            FROM best JOIN r ON r.g = best.g AND r.i = best.i + 1
+            JOIN moves m ON m.a = best.s AND m.fault = r.fault
+                         AND m.ini = CASE WHEN r.ini IN ('s', 'u', 'a') THEN r.ini ELSE '' END
+            GROUP BY r.g, m.b),
+        done AS (SELECT g, min({{'c': best.best.c + CASE s WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END,
+                 'e': best.best.e || CASE s WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END}}) AS best
+                 FROM best JOIN counts USING (g) WHERE best.i = n GROUP BY g),
+        letters AS (SELECT g, unnest(string_split(done.best.e, '')) AS e, generate_subscripts(string_split(done.best.e, ''), 1) AS k
+                    FROM done),
+        placed AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY g ORDER BY k) AS i FROM letters),
+        stay AS (SELECT p.g, p.e, p.k, r.role, r.text, r.ini, row_number() OVER (PARTITION BY p.g ORDER BY p.k) AS j
+                 FROM placed p LEFT JOIN r ON r.g = p.g AND r.i = p.i AND p.e <> 'I' WHERE p.e <> 'D'),
+        led AS (SELECT *, (first_value(e = 'K' AND ini = 's') OVER (PARTITION BY g ORDER BY j))::INT AS s FROM stay),
+        out AS (SELECT g, string_agg(CASE WHEN e = 'K' THEN role WHEN (j - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+                       || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired FROM led GROUP BY g)
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+               coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(done.best.c, 0)::BIGINT AS cost,
+               coalesce(done.best.e, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id::VARCHAR, '') AS g FROM conversations) c
+        LEFT JOIN counts USING (g) LEFT JOIN done USING (g) LEFT JOIN out USING (g)""",
 }
