@@ -204,17 +204,24 @@ def zscore(df, key, cols=None, threshold=3.0, subject_col=None, stats=None) -> D
     return _run(df, key, cols, stats, {"zscore": lambda x, s, e: _zscore(x, s, threshold)}, subject_col)
 
 
-def iqr(df, key, cols=None, factor=1.5, subject_col=None, stats=None) -> DataFrame:
-    """Values beyond ``factor`` interquartile ranges from the quartiles."""
+def sketched_stats(df: DataFrame, cols: list[str], qs=(0.01, 0.25, 0.5, 0.75, 0.99)) -> dict[str, ColumnStats]:
+    """Statistics from one pass of mergeable sketches instead of exact quantiles."""
+    from .sketches import column_sketches, sketch_stats
+    stats = sketch_stats(column_sketches(df, cols), qs)
+    return {c: stats.get(c, ColumnStats()) for c in cols}
+
+
+def iqr(df, key, cols=None, factor=1.5, subject_col=None, stats=None, exact=True) -> DataFrame:
+    """Values beyond ``factor`` interquartile ranges from the quartiles; ``exact=False`` sketches these in one pass."""
     cols = cols or numeric_columns(df, key)
-    stats = stats or column_stats(df, cols, (0.25, 0.75))
+    stats = stats or (column_stats(df, cols, (0.25, 0.75)) if exact else sketched_stats(df, cols, (0.25, 0.75)))
     return _run(df, key, cols, stats, {"iqr": lambda x, s, e: _iqr(x, s, factor)}, subject_col)
 
 
-def modified_zscore(df, key, cols=None, threshold=3.5, subject_col=None, stats=None) -> DataFrame:
-    """Median/MAD z-score; falls back to the standard deviation when the MAD is zero."""
+def modified_zscore(df, key, cols=None, threshold=3.5, subject_col=None, stats=None, exact=True) -> DataFrame:
+    """Median/MAD z-score; falls back to the standard deviation when the MAD is zero. ``exact=False`` sketches both."""
     cols = cols or numeric_columns(df, key)
-    stats = stats or column_stats(df, cols, (0.5,), mad=True)
+    stats = stats or (column_stats(df, cols, (0.5,), mad=True) if exact else sketched_stats(df, cols, (0.5,)))
     return _run(df, key, cols, stats,
                 {"modified_zscore": lambda x, s, e: _modified_zscore(x, s, threshold)}, subject_col)
 
@@ -244,10 +251,11 @@ def grubbs_statistic(df: DataFrame, key, cols=None) -> DataFrame:
     return df.select(k.alias("row_key"), F.inline(F.array_compact(F.array(*rows))))
 
 
-def percentile_bounds(df, key, cols=None, lower=1.0, upper=99.0, subject_col=None, stats=None) -> DataFrame:
-    """Values outside two percentiles; needs at least 20 values."""
+def percentile_bounds(df, key, cols=None, lower=1.0, upper=99.0, subject_col=None, stats=None, exact=True) -> DataFrame:
+    """Values outside two percentiles; needs at least 20 values. ``exact=False`` sketches them."""
     cols = cols or numeric_columns(df, key)
-    stats = stats or column_stats(df, cols, (lower / 100.0, upper / 100.0))
+    qs = (lower / 100.0, upper / 100.0)
+    stats = stats or (column_stats(df, cols, qs) if exact else sketched_stats(df, cols, qs))
     return _run(df, key, cols, stats,
                 {"percentile_bounds": lambda x, s, e: _percentile_bounds(x, s, lower, upper)}, subject_col)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.chunks import with_row_index
 from ..functions.schema import quoted
 from ..operators import (duplicates, ensemble, explain, hits, iforest, lof, longitudinal, mapping, missing, profile,
-                         quality, reconstruct, results, rules, univariate)
+                         quality, reconstruct, results, rules, sketches, univariate)
 from ..operators.vocabulary import CLINICAL_RANGES
 from ..sources import csv as csv_source
 from ..sources import files, sinks
@@ -160,6 +160,57 @@ def profile_lineitem(spark, folder):
                     ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
 
 
+SKETCHED = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
+
+
+def stored_sketches(spark, folder) -> DataFrame:
+    """Sketches of the line items, one part for each month, stored in two batches; the first month is stored twice."""
+    path = scratch(spark)
+    lines = table(spark, folder, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    first = lines.agg(F.min("month")).head()[0]
+    for part in (lines.where("month < '1995-01'"), lines.where("month >= '1995-01'"), lines.where(F.col("month") == first)):
+        sinks.write_sketches(sketches.column_sketches(part, SKETCHED, ["month"]), path, ["month"])
+    return spark.read.parquet(path)
+
+
+@query
+def sketched_profile_lineitem(spark, folder):
+    """P1 from stored sketches of months: exact counts and moments, distinct counts within their error."""
+    p = sketches.sketch_profile(sketches.merged_sketches(stored_sketches(spark, folder)))
+    exact = profile.distinct_counts(table(spark, folder, "lineitem"), SKETCHED)
+    off = F.element_at(F.create_map(*[x for c in SKETCHED for x in (F.lit(c), F.lit(exact[c]))]), F.col("column_name"))
+    return p.select("column_name", "count", "missing_count", *[
+        F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max", "skewness", "kurtosis")],
+        (F.abs(F.col("unique_count") - off) <= 1 + sketches.DISTINCT_ERROR * off).alias("unique_close"))
+
+
+@query
+def sketched_quantiles_lineitem(spark, folder):
+    """U2, U3, U5 from stored sketches: every quantile's rank, counted on all rows, is within the stated error."""
+    qs = (0.01, 0.25, 0.5, 0.75, 0.99)
+    stats = sketches.sketch_stats(sketches.merged_sketches(stored_sketches(spark, folder)), qs)
+    lines = table(spark, folder, "lineitem")
+    found = []
+    for c, s in stats.items():
+        for q in qs:
+            x = F.col(c)
+            # of equal values, some rank must be near
+            below, upto = F.count_if(x < s.quantile[q]) / F.count(x), F.count_if(x <= s.quantile[q]) / F.count(x)
+            found.append(F.struct(F.lit(c).alias("column_name"), F.lit(q).alias("q"), (
+                (below <= q + sketches.RANK_ERROR) & (upto >= q - sketches.RANK_ERROR)).alias("close")))
+    return lines.agg(F.array(*found).alias("f")).select(F.inline("f"))
+
+
+@query
+def sketched_bounds_lineitem(spark, folder):
+    """U5 with ``exact=False``: the share of values outside the two percentiles is within the stated error."""
+    lines = table(spark, folder, "lineitem")
+    cols = ["l_extendedprice", "l_orderkey"]
+    found = univariate.percentile_bounds(lines, LINE_KEY, cols, exact=False).groupBy("column_name").count()
+    share = F.col("count") / F.lit(lines.count())
+    return found.select("column_name", (F.abs(share - 0.02) <= 2 * sketches.RANK_ERROR + 0.001).alias("close"))
+
+
 @query
 def types_of_visits(spark, folder):
     """P2."""
@@ -476,6 +527,30 @@ def lof_embeddings(spark, folder):
     return lof.lof(table(spark, folder, "embeddings"), "vec_id", vector_col="embedding")
 
 
+@query
+def lof_embeddings_approximate(spark, folder):
+    """M2 on vectors, neighbours by random projections."""
+    return lof.lof(table(spark, folder, "embeddings"), "vec_id", vector_col="embedding", approx=True)
+
+
+@query
+def lof_neighbour_recall(spark, folder):
+    """M2: whether the approximate search finds 95 % of the exact neighbours of every vector of the table."""
+    return lof_recall(table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
+def lof_recall(df, key, vector_col, k: int = 20, tables: int = lof.TABLES) -> DataFrame:
+    """(vectors, k, recalled): whether the approximate search reaches a recall of 0.95 against the exact one."""
+    frame = lof.vector_frame(df, key, vector_col=vector_col)
+    _, d = lof.shape_of(frame)
+    distinct = frame.groupBy("vec").agg(F.min("row_key").alias("first"), F.count(F.lit(1)).alias("copies"))
+    placed = lof.blocks(distinct, d, lof.BLOCK_ROWS)
+    recall = lof.neighbour_recall(lof.nearest_by_projection(placed, d, k, tables, lof.BLOCK_ROWS),
+                                  lof.nearest(placed, d, k))
+    return placed.agg(F.count(F.lit(1)).alias("vectors")).select(
+        "vectors", F.lit(k).cast("long").alias("k"), F.lit(recall >= 0.95).alias("recalled"))
+
+
 @query
 def reconstruction_lineitem(spark, folder):
     """M3."""

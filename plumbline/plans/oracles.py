@@ -506,8 +506,26 @@ def oracle_sql() -> dict[str, str]:
         # neighbours
         "lof_customers": _with(lof_ctes("SELECT c_custkey AS id, [c_custkey::DOUBLE, c_acctbal] AS v FROM customer"))
         + "SELECT * FROM scored",
+        "sketched_profile_lineitem": " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count({c}) AS count, count(*) - count({c}) AS missing_count, " + (
+                ", ".join(f"NULL::DOUBLE AS {k}" for k in ("mean", "std", "min", "max", "skewness", "kurtosis"))
+                if c == "l_returnflag" else f"""round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
+                round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max,
+                round(avg(pow({c} - m, 3)) / pow(avg(pow({c} - m, 2)), 1.5), 4) AS skewness,
+                round(avg(pow({c} - m, 4)) / pow(avg(pow({c} - m, 2)), 2) - 3, 4) AS kurtosis""")
+            + ", true AS unique_close FROM lineitem" + (
+                "" if c == "l_returnflag" else f", (SELECT avg({c})::DOUBLE AS m FROM lineitem)")
+            for c in ("l_quantity", "l_extendedprice", "l_discount", "l_returnflag")),
+        "sketched_quantiles_lineitem": """SELECT column_name, q::DOUBLE AS q, true AS close FROM
+            (VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount')) c(column_name),
+            (VALUES (0.01), (0.25), (0.5), (0.75), (0.99)) v(q)""",
+        "sketched_bounds_lineitem": """SELECT column_name, true AS close
+            FROM (VALUES ('l_extendedprice'), ('l_orderkey')) c(column_name)""",
         "lof_embeddings": _with(lof_ctes("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"))
         + "SELECT * FROM scored",
+        "lof_embeddings_approximate": _with(lof_ctes("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"))
+        + "SELECT * FROM scored",
+        "lof_neighbour_recall": "SELECT count(DISTINCT embedding) AS vectors, 20::BIGINT AS k, true AS recalled FROM embeddings",
         "row_scores_on_cells": _with(lof_ctes("SELECT c_custkey AS id, [c_custkey::DOUBLE, c_acctbal] AS v FROM customer"))
         + """SELECT row_key, 'c_custkey' AS column_name, CAST(row_key AS VARCHAR) AS value, anomaly_score AS score
           FROM scored WHERE is_anomaly UNION ALL SELECT row_key, 'c_acctbal', CAST(c_acctbal AS VARCHAR), anomaly_score

@@ -28,6 +28,11 @@ def write_reviews(findings: DataFrame, path: str) -> None:
      .partitionBy("analysis_id").parquet(path))
 
 
+def write_sketches(sketches: DataFrame, path: str, by: list[str]) -> None:
+    """Store the sketches of some parts; parts that are stored already are replaced, all others stay as they are."""
+    (sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
+
+
 def export_csv(findings: DataFrame, path: str, sanitize: bool = False) -> None:
     """The 18 export fields as CSV part files in descending score order."""
     rows = export_rows(findings)

@@ -90,3 +90,40 @@ def test_components_come_from_all_rows(spark):
     want = ((z - np.outer(z @ axis, axis)) ** 2).mean(1)
     got = reconstruction(frame(spark, x), "id", kind="pca", ratio=0.34).toPandas().sort_values("row_key")
     assert np.allclose(got["reconstruction_error"], want, atol=1e-4)
+
+
+def test_network_is_fitted_in_few_passes(spark, monkeypatch):
+    from plumbline.operators import reconstruct
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(600, 2))
+    x = np.column_stack([a, a @ [1.0, 0.5], a @ [-0.4, 1.0]]) + 0.05 * rng.normal(size=(600, 4))
+    passes = []
+    summed = reconstruct._summed_gradients
+    monkeypatch.setattr(reconstruct, "_summed_gradients", lambda *p: passes.append(1) or summed(*p))
+    x[11, 2] += 6.0
+    r = reconstruction(frame(spark, x), "id").toPandas().set_index("row_key")
+    assert len(passes) <= 20 and r["anomaly_score"].idxmax() == 11
+    # a line of ReLU units cannot do better than two axes, but should come near them
+    z = (x - x.mean(0)) / x.std(0)
+    axes = np.linalg.svd(z, full_matrices=False)[2][:2]
+    assert r["reconstruction_error"].mean() < 0.6 * (z ** 2).mean() and ((z - z @ axes.T @ axes) ** 2).mean() > 0
+
+
+def test_approximate_neighbours_of_embeddings(spark):
+    from plumbline.operators import lof as module
+    from plumbline.plans.catalog import lof_recall
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    r = lof_recall(table, "vec_id", "embedding").first()
+    assert r["vectors"] == table.count() > 3 * module.BLOCK_ROWS and r["recalled"]
+    plan = module.lof(table, "vec_id", vector_col="embedding", approx=True)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_approximate_factors_count_copies(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 3)), 3)
+    x[40:60] = x[40]
+    x[7] = [9.0, 9.0, 9.0]
+    exact = lof(frame(spark, x), "id").toPandas().set_index("row_key")["raw_score"]
+    near = lof(frame(spark, x), "id", approx=True).toPandas().set_index("row_key")["raw_score"]
+    assert near.idxmax() == 7 and np.allclose(exact.sort_index(), near.sort_index(), atol=1e-3)  # one run holds all
