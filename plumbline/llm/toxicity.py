@@ -2,7 +2,7 @@
 
 A text's features are the hashed character n-grams that it has. Each is scaled by its naive Bayes log-count ratio
 between the two labels, and a logistic regression is trained on the scaled features. The classifier is fitted on at
-most ``FIT_ROWS`` labelled documents, chosen by a hash of doc_id; scores are made for every whole text.
+most ``FIT_ROWS`` different labelled documents, chosen by hashes of doc_id and text; scores are made for every whole text.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ ORDERS = (3, 4, 5, 6)
 BITS = 18
 #: Bound of the labelled documents that the classifier is fitted on.
 FIT_ROWS = 12_000
-#: Features that are kept: those whose presence says most about the label in the fitted documents.
+#: Features that are kept by default: those whose presence says most about the label in the fitted documents.
 KEPT = 4096
 SMOOTHING = 1.0
 PENALTY = 1e-5
@@ -65,27 +65,24 @@ def held_out(key: str) -> Column:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, fit_rows: int) -> DataFrame:
-    """label and features of the fitted documents: at most ``fit_rows``, so their ids may be broadcast."""
+    """label and text of the fitted documents: at most ``fit_rows``, equal rows once, however often a doc_id repeats."""
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(
         F.max(F.col(label)).cast("int").alias("label")).where(~F.expr("crc32(cast(cast(id as string) as binary)) % 5 = 0"))
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    given = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([features(t).astype(np.int32) for t in batch.column(1).to_pylist()],
-                                           pa.list_(pa.int32()))], ["label", "features"])
-
-    return given.select("label", "text").mapInArrow(run, "label int, features array<int>")
+    given = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
+    met = given.select("id", "digest").join(F.broadcast(chosen), "id").distinct()
+    taken = met.orderBy(F.xxhash64("id"), "id", F.xxhash64("digest"), "digest").limit(fit_rows)
+    rows = given.join(F.broadcast(taken), ["id", "digest"])
+    return rows.groupBy("id", "digest").agg(F.first("label").alias("label"), F.first("text").alias("text")).select(
+        "label", "text")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each feature, by label, of one task: two vectors of fixed size."""
     counts, rows = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
     for batch in batches:
-        for label, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            counts[int(label > 0), found.values.to_numpy()] += 1
+        for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[int(label > 0), features(text)] += 1
             rows[int(label > 0)] += 1
     if rows.sum():
         at = np.flatnonzero(counts.any(axis=0))
@@ -100,7 +97,7 @@ def _kept(kept: np.ndarray):
         place = np.full(1 << BITS, -1, np.int32)
         place[kept] = np.arange(len(kept))
         for batch in batches:
-            rows = [found[found >= 0] for found in (place[f.values.to_numpy()] for f in batch.column(1))]
+            rows = [found[found >= 0] for found in (place[features(t)] for t in batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))],
                                              ["label", "features"])
 
@@ -126,9 +123,11 @@ def _regression(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic",
-        fit_rows: int = FIT_ROWS) -> Model:
+        fit_rows: int = FIT_ROWS, kept_features: int = KEPT) -> Model:
     """Fit on labelled documents outside the held-out fifth; of several labels of a doc_id the highest counts.
 
+    ``fit_rows`` bounds the documents that are learned from, ``kept_features`` the features that get a weight.
+
     Null texts are empty texts; rows with a null label or key teach nothing. Without labelled documents of both kinds
     the model scores every text as the label that there is (as 0 if there is none).
     """
@@ -145,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     shares = (counts + SMOOTHING) / (total[:, None] + 2 * SMOOTHING)
     ratios = np.log(shares[1] / shares[0])
     gain = np.abs(shares[1] - shares[0]) * np.abs(ratios)
-    kept = np.sort(np.argsort(-gain, kind="stable")[:KEPT])
-    found = rows.mapInArrow(_kept(kept), "label int, features array<int>").collect()  # at most fit_rows x KEPT
+    kept = np.sort(np.argsort(-gain, kind="stable")[:kept_features])
+    found = rows.mapInArrow(_kept(kept), "label int, features array<int>").collect()  # at most fit_rows x kept_features
     given = [np.array(r["features"], np.int32) for r in found]
     weights, bias = _regression(given, np.array([float(r["label"] > 0) for r in found]), ratios[kept])
     out = np.zeros(1 << BITS)

@@ -168,6 +168,18 @@ def test_toxicity(spark, empty):
     assert one_sided.score("you idiot") < 0.5
 
 
+def test_a_labelled_id_on_many_rows_teaches_a_bounded_number(spark):
+    rows = [(7, f"you idiot number {i}") for i in range(400)] + [(7, "the same")] * 50 + [(i, "kind words") for i in range(8, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 7)) for i in range(7, 30)], "doc_id long, toxic int")
+    assert zlib.crc32(b"7") % 5
+    got = toxicity._training_rows(df, labels, "text", "doc_id", "toxic", 100)
+    assert got.count() == 100 and got.distinct().count() == 100
+    assert toxicity._training_rows(df, labels, "text", "doc_id", "toxic", 10_000).where("text = 'the same'").count() == 1
+    few = toxicity.fit(df, labels, kept_features=5)
+    assert np.count_nonzero(few.weights) <= 5
+
+
 def test_packing(spark, docs, texts, empty):
     from tokenizers import Tokenizer
     path = queries.tokenizer_path()
