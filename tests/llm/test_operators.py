@@ -174,7 +174,7 @@ def test_a_labelled_id_on_many_rows_teaches_a_bounded_number(spark):
     labels = spark.createDataFrame([(i, int(i == 7)) for i in range(7, 30)], "doc_id long, toxic int")
     assert zlib.crc32(b"7") % 5
     got = toxicity._training_rows(df, labels, "text", "doc_id", "toxic", 100)
-    assert got.count() == 100 and got.distinct().count() == 100
+    assert got.count() == 100 and got.where("label = 1").distinct().count() == got.where("label = 1").count() > 50
     assert toxicity._training_rows(df, labels, "text", "doc_id", "toxic", 10_000).where("text = 'the same'").count() == 1
     few = toxicity.fit(df, labels, kept_features=5)
     assert np.count_nonzero(few.weights) <= 5
