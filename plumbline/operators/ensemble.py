@@ -59,8 +59,10 @@ def ensemble(hits: DataFrame, weights=None, min_score: float = 0.3, conflict: st
     cells = collect_hits(hits, conflict, algorithms).withColumn(
         "combined", combined_score({a: F.col(a)["score"] for a in algorithms}, weights))
 
+    own = [a for a in algorithms if a not in ALGORITHMS]  # detectors of the caller speak after the built-in ones
+
     def first_of(field, order):
-        return F.coalesce(*[F.col(a)[field] for a in order if a in algorithms])
+        return F.coalesce(*[F.col(a)[field] for a in order + own if a in algorithms])
 
     methods = F.array_compact(F.array(*[F.when(F.col(a).isNotNull(), a) for a in algorithms]))
     ranged = [a for a in ("clinical_rules", "statistical") if a in algorithms]

@@ -6,6 +6,7 @@ never have to go back to the source table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,26 @@ def when(condition: str, then: str) -> str:
     return f"CASE WHEN {condition} THEN {then} END"
 
 
+@dataclass
+class Candidates:
+    """What a row-local detector says of a row: SQL of a struct for each cell it may flag (NULL = not flagged), conditions
+    outside of which nothing is flagged, and columns that the structs need."""
+
+    structs: list[str] = field(default_factory=list)
+    tests: list[str] = field(default_factory=list)
+    columns: list[Column] = field(default_factory=list)
+
+
+def emit_all(df: DataFrame, key, parts: list[Candidates], subject_col: str | None = None) -> DataFrame:
+    """Hits of several row-local detectors from one scan: one filter, one projection, no shuffle."""
+    structs = [x for p in parts for x in p.structs]
+    if not structs:
+        return no_hits(df, key)
+    near = df.where(any_of([t for p in parts for t in p.tests]))
+    columns = [c for p in parts for c in p.columns]
+    return emit(near.select("*", *columns) if columns else near, key, structs, subject_col)
+
+
 def emit(df: DataFrame, key, candidates: list[str], subject_col: str | None = None) -> DataFrame:
     """Turn per-row candidate structs (NULL = not flagged) into hit rows, without a shuffle."""
     flagged = F.expr("inline(array_compact(array(" + ", ".join(candidates) + ")))")
@@ -93,6 +114,18 @@ def no_hits(df: DataFrame, key) -> DataFrame:
     return emit(df.where("false"), key, [when("false", hit("", "", "", 0.0))])
 
 
+def own_hits(found: DataFrame, df: DataFrame, key, algo: str) -> DataFrame:
+    """Flagged cells of a caller's detector in the form of all hits; columns it does not give are empty."""
+    full = no_hits(df, key)
+    given = {"algo": F.lit(algo), "method": F.col("method") if "method" in found.columns else F.lit(algo)}
+    lacking = {"row_key", "column_name", "score"} - set(found.columns)
+    if lacking:
+        raise ValueError(f"the detector {algo} does not give {', '.join(sorted(lacking))}")
+    columns = [given.get(f.name, F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+               for f in full.schema]
+    return found.select(*columns).withColumn("seq", F.coalesce("seq", F.lit(0)))
+
+
 def any_of(conditions: list[str]) -> str:
     return " OR ".join(f"({c})" for c in conditions)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import as_list, number_sql, numeric_columns, row_key, scalar_columns
 from ..functions.text import fixed_text, sql_name, sql_text
-from .hits import Sql, any_of, emit, hit, no_hits, subject, text_of, union_hits, when, written
+from .hits import Candidates, Sql, any_of, emit, emit_all, hit, subject, text_of, union_hits, when, written
 from .longitudinal import with_history
 from .vocabulary import POSITIVE_PATTERNS
 
@@ -58,23 +58,25 @@ def missing_rate(df: DataFrame, key, cols=None, attach_to_first: bool = False) -
     return written(out)
 
 
-def missing_cells(df: DataFrame, key, cols=None, subject_col=None) -> DataFrame:
+def missing_candidates(df: DataFrame, key, cols=None) -> Candidates:
     """Every missing cell: 0.5 in vital-sign columns, 0.2 elsewhere."""
-    cols = cols or scalar_columns(df, as_list(key))
-    found, tests = [], []
-    for c in cols:
-        tests.append(missing_sql(df, c))
-        found.append(when(tests[-1], hit(
+    out = Candidates()
+    for c in cols or scalar_columns(df, as_list(key)):
+        out.tests.append(missing_sql(df, c))
+        out.structs.append(when(out.tests[-1], hit(
             c, "missing_data", "missing_value", 0.5 if name_groups(c) else 0.2, kind="missing_value",
             note=f"Missing value in clinical parameter '{c}'.", seq=2)))
-    if not found:
-        return no_hits(df, key)
-    return emit(df.where(any_of(tests)), key, found, subject_col)
+    return out
 
 
-def impossible_values(df: DataFrame, key, cols=None, subject_col=None) -> DataFrame:
+def missing_cells(df: DataFrame, key, cols=None, subject_col=None) -> DataFrame:
+    """Every missing cell: 0.5 in vital-sign columns, 0.2 elsewhere."""
+    return emit_all(df, key, [missing_candidates(df, key, cols)], subject_col)
+
+
+def impossible_candidates(df: DataFrame, key, cols=None) -> Candidates:
     """Values that cannot exist: negative or zero quantities, ages and temperatures out of bounds."""
-    found, tests = [], []
+    out = Candidates()
     for c in cols or numeric_columns(df, as_list(key)):
         groups = name_groups(c)
         if not groups:
@@ -93,17 +95,20 @@ def impossible_values(df: DataFrame, key, cols=None, subject_col=None) -> DataFr
         if "temp" in groups:
             rules.append((f"NOT ({x} BETWEEN 25 AND 45) AND NOT ({x} BETWEEN 77 AND 113)", 1.0,
                           "Physiologically impossible temperature value: {x}."))
-        found.append("CASE " + " ".join(f"WHEN {test} THEN {at(score, note)}" for test, score, note in rules) + " END")
-        tests.append(any_of([r[0] for r in rules]))
-    if not found:
-        return no_hits(df, key)
-    return emit(df.where(any_of(tests)), key, found, subject_col)
+        out.structs.append("CASE " + " ".join(f"WHEN {test} THEN {at(score, note)}" for test, score, note in rules) + " END")
+        out.tests.append(any_of([r[0] for r in rules]))
+    return out
+
+
+def impossible_values(df: DataFrame, key, cols=None, subject_col=None) -> DataFrame:
+    """Values that cannot exist: negative or zero quantities, ages and temperatures out of bounds."""
+    return emit_all(df, key, [impossible_candidates(df, key, cols)], subject_col)
 
 
 def missing_all(df: DataFrame, key, subject_col=None, attach_to_first: bool = False) -> DataFrame:
     """Missing rates, missing cells and impossible values together."""
-    return union_hits([missing_rate(df, key, scalar_columns(df, as_list(key)), attach_to_first),
-                       missing_cells(df, key, None, subject_col), impossible_values(df, key, None, subject_col)])
+    cells = emit_all(df, key, [missing_candidates(df, key), impossible_candidates(df, key)], subject_col)
+    return union_hits([missing_rate(df, key, scalar_columns(df, as_list(key)), attach_to_first), cells])
 
 
 def missing_streak(df: DataFrame, key, subject_col, timepoint_col, cols, k: int = 3, **options) -> DataFrame:

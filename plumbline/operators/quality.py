@@ -79,6 +79,13 @@ def quality_score(findings: DataFrame, total_rows: int | DataFrame) -> DataFrame
                          score(per_1k).alias("quality_score_per_1k"), rate.alias("anomaly_rate_percent"))
 
 
+def scores_of(rows: int, total: int, critical: int, high: int) -> dict[str, float]:
+    """quality_score and anomaly_rate_percent of counted findings, as ``quality_score`` has them; 100 without rows."""
+    loss = critical * 5.0 + high * 2.0 + max(0, total - critical - high) * 0.5
+    return {"quality_score": max(0.0, round(100.0 - loss, 2)) if rows else 100.0,
+            "anomaly_rate_percent": round(total / rows * 100, 2) if rows else 0.0}
+
+
 def recommendations(findings: DataFrame) -> DataFrame:
     """Ordered advice (position, recommendation) derived from the summary counts."""
     s = summarise(findings)

@@ -18,7 +18,7 @@ from ..functions import quantiles
 from ..functions.schema import key_equals, number, number_sql, numeric_columns, row_key
 from ..functions.student import grubbs_critical
 from ..functions.text import sql_name, sql_number
-from .hits import any_of, emit, hit, no_hits, text_of, when
+from .hits import Candidates, any_of, emit_all, hit, text_of, when
 
 METHODS = ["zscore", "iqr", "modified_zscore", "grubbs", "percentile_bounds"]
 
@@ -170,31 +170,33 @@ def _percentile_bounds(x: str, s: ColumnStats, lower: float, upper: float) -> _T
                  round(lo, 4), round(hi, 4))
 
 
-def _run(df, key, cols, stats, tests, subject_col, best_only=False) -> DataFrame:
-    """Apply ``tests`` (method name → function of column, stats and extreme-row flag) in one projection."""
-    candidates, outside = [], []
-    marked = {c: key_equals(key, stats[c].extreme_key).alias(f"__extreme_{i}") for i, c in enumerate(cols)
-              if "grubbs" in tests and stats[c].extreme_key is not None}
+def _candidates(df, key, cols, stats, tests, best_only=False) -> Candidates:
+    """Hits of ``tests`` (method name → function of column, stats and extreme-row flag)."""
+    out = Candidates()
+    if "grubbs" in tests:
+        out.columns = [key_equals(key, stats[c].extreme_key).alias(f"__extreme_{i}") for i, c in enumerate(cols)
+                       if stats[c].extreme_key is not None]
     for i, c in enumerate(cols):
         x, s = number_sql(df, c), stats[c]
         built = [(m, t) for m, t in ((m, f(x, s, f"`__extreme_{i}`")) for m, f in tests.items()) if t is not None]
         if not built:
             continue
-        outside.append(f"{sql_name(c)} < {_n(max(t.low for _, t in built))} OR "
-                       f"{sql_name(c)} > {_n(min(t.high for _, t in built))}")
+        out.tests.append(f"{sql_name(c)} < {_n(max(t.low for _, t in built))} OR "
+                         f"{sql_name(c)} > {_n(min(t.high for _, t in built))}")
         structs = [(t, m, hit(c, "statistical", m, t.score, text_of(df, c), x, t.z, t.lo, t.hi, "statistical_outlier"))
                    for m, t in built]
         if best_only and len(structs) > 1:
             # highest rounded score wins; on a tie the earlier method in METHODS
             ranked = ", ".join(when(t.flagged, f"named_struct('s', {t.score}, 'm', {-METHODS.index(m)}, 'h', {h})")
                                for t, m, h in structs)
-            candidates.append(f"array_max(array_compact(array({ranked}))).h")
+            out.structs.append(f"array_max(array_compact(array({ranked}))).h")
         else:
-            candidates += [when(t.flagged, h) for t, _, h in structs]
-    if not candidates:
-        return no_hits(df, key)
-    near = df.where(any_of(outside))
-    return emit(near.select("*", *marked.values()) if marked else near, key, candidates, subject_col)
+            out.structs += [when(t.flagged, h) for t, _, h in structs]
+    return out
+
+
+def _run(df, key, cols, stats, tests, subject_col) -> DataFrame:
+    return emit_all(df, key, [_candidates(df, key, cols, stats, tests)], subject_col)
 
 
 def zscore(df, key, cols=None, threshold=3.0, subject_col=None, stats=None) -> DataFrame:
@@ -260,8 +262,8 @@ def percentile_bounds(df, key, cols=None, lower=1.0, upper=99.0, subject_col=Non
                 {"percentile_bounds": lambda x, s, e: _percentile_bounds(x, s, lower, upper)}, subject_col)
 
 
-def statistical(df, key, cols=None, threshold=3.0, factor=1.5, subject_col=None, stats=None) -> DataFrame:
-    """All five tests; each cell keeps its highest-scoring one. One scan, no shuffle."""
+def statistical_candidates(df, key, cols=None, threshold=3.0, factor=1.5, stats=None) -> Candidates:
+    """All five tests; each cell keeps its highest-scoring one."""
     cols = cols or numeric_columns(df, key)
     stats = stats or column_stats(df, cols, key=key, mad=True)
     tests = {
@@ -271,4 +273,9 @@ def statistical(df, key, cols=None, threshold=3.0, factor=1.5, subject_col=None,
         "grubbs": lambda x, s, e: _grubbs(x, s, 0.05, e),
         "percentile_bounds": lambda x, s, e: _percentile_bounds(x, s, 1.0, 99.0),
     }
-    return _run(df, key, cols, stats, tests, subject_col, best_only=True)
+    return _candidates(df, key, cols, stats, tests, best_only=True)
+
+
+def statistical(df, key, cols=None, threshold=3.0, factor=1.5, subject_col=None, stats=None) -> DataFrame:
+    """All five tests; each cell keeps its highest-scoring one. One scan, no shuffle."""
+    return emit_all(df, key, [statistical_candidates(df, key, cols, threshold, factor, stats)], subject_col)

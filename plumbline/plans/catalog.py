@@ -14,9 +14,9 @@ from ..operators import (duplicates, ensemble, explain, hits, iforest, lof, long
                          quality, reconstruct, results, rules, sketches, univariate)
 from ..operators.vocabulary import CLINICAL_RANGES
 from ..sources import csv as csv_source
-from ..sources import files, sinks
+from ..sources import files, ingest, sinks
 from ..streaming import score
-from .analysis import AnalysisConfig, analyze
+from .analysis import AnalysisConfig, Detector, analyze, stored_analysis
 from .tables import (VISIT_RULES, analyses, datasets, readings, stored_findings, table, users, visits)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,45 @@ def csv_round_trip(spark, folder):
     return csv_source.read_csv(spark, path)
 
 
+def _folder_of_files(spark, folder) -> str:
+    """CSV files that differ in delimiter, columns and gaps, one of them a copy of another, one with bad lines."""
+    path = scratch(spark)
+    read = lambda name, *cols: table(spark, folder, name).select(*cols)
+    region = read("region", "r_regionkey", "r_name")
+    tables = {
+        "a_nation": (read("nation", "n_nationkey", "n_name", "n_regionkey"), ","), "b_region": (region, ";"),
+        "c_copy": (region, ";"),
+        "d_supplier": (read("supplier", "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "N/A").otherwise(F.concat(
+            F.lit('a "quoted", name '), "s_suppkey")).alias("label"), (F.col("s_acctbal") > 0).alias("good")), ","),
+        "e_customer": (read("customer", "c_custkey", F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal")).alias("c_acctbal")),
+                       "\t"),
+        "f_none": (region.where("false"), "|")}
+    for name, (t, sep) in tables.items():
+        t.coalesce(1).orderBy(t.columns[0]).coalesce(1).write.option("header", True).option("sep", sep).option(
+            "escape", '"').csv(f"{path}/{name}")
+    lines = read("part", F.concat_ws(",", F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.when(
+        F.col("p_partkey") % 5 == 0, "too,many")).alias("value")).coalesce(1)
+    spark.range(1).select(F.lit("p_partkey,p_size").alias("value")).unionAll(lines).coalesce(1).write.text(f"{path}/g_part.csv")
+    return path
+
+
+@query
+def ingested_files(spark, folder):
+    """S1–S6 on a folder of differing files: one record for each, copies of known files marked."""
+    path = _folder_of_files(spark, folder)
+    records = ingest.ingest(spark, f"{path}/*")
+    name = lambda c: F.element_at(F.split(c, "/"), -2)
+    known = records.where(name(F.col("path")) == "a_nation").select(F.lit("stored").alias("path"), "file_hash")
+    found = ingest.accepted(records, known)
+    text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return found.select(
+        name("path").alias("file"), "delimiter", F.array_join("header", ",").alias("header"), "rows", "bad_lines",
+        text(F.col("types")).alias("types"), text(F.col("missing")).alias("missing"),
+        F.size("preview").cast("long").alias("previewed"), F.get("preview", F.lit(0))[F.get("header", F.lit(1))].alias("cell"),
+        "problem", F.when(F.col("duplicate_of") == "stored", "stored").otherwise(name("duplicate_of")).alias("duplicate_of"))
+
+
 @query
 def null_tokens(spark, folder):
     """S3."""
@@ -571,11 +610,10 @@ def reconstruction_embeddings_pca(spark, folder):
 def visit_hits(spark, folder) -> DataFrame:
     """Hits of the statistical, missing, impossible and rule checks on the visits."""
     v = visits(spark, folder)
-    return hits.union_hits([
-        univariate.statistical(v, "event_id", VISIT_NUMBERS, subject_col="subject_id"),
-        missing.missing_cells(v, "event_id", None, "subject_id"),
-        missing.impossible_values(v, "event_id", None, "subject_id"),
-        rules.rules_all(v, "event_id", "subject_id", "visit_time", VISIT_RULES)])
+    local = hits.emit_all(v, "event_id", [
+        univariate.statistical_candidates(v, "event_id", VISIT_NUMBERS), missing.missing_candidates(v, "event_id"),
+        missing.impossible_candidates(v, "event_id"), *rules.rule_candidates(v, VISIT_RULES)], "subject_id")
+    return local.unionByName(rules.longitudinal(v, "event_id", "subject_id", "visit_time", VISIT_RULES))
 
 
 def visit_cells(spark, folder, **options) -> DataFrame:
@@ -631,11 +669,97 @@ def decorated_findings(spark, folder):
         F.round("expected_range_max", 4).alias("expected_range_max"), "z_score", "detection_method", "anomaly_type")
 
 
+def large_ages(df, key) -> DataFrame:
+    """A detector of the caller's own: subjects over 150, scored by their age."""
+    return df.where("age > 150").select(F.col(key).alias("row_key"), F.lit("age").alias("column_name"), F.col("age").cast(
+        "string").alias("value"), F.round(F.col("age") / 200.0, 4).alias("score"), F.lit("large_age").alias("anomaly_type"))
+
+
+def broken(df, key) -> DataFrame:
+    """A detector that fails while it runs, not while it is built."""
+    return df.select(F.col(key).alias("row_key"), F.lit("age").alias("column_name"),
+                     F.raise_error(F.lit("no such sensor")).cast("double").alias("score"))
+
+
+def _visit_run(**options) -> AnalysisConfig:
+    """The checks of ``visit_hits`` as a run, without the detectors that draw at random."""
+    return AnalysisConfig(subject_col="subject_id", timepoint_col="visit_time", columns_to_analyze=VISIT_NUMBERS,
+                          column_map=VISIT_RULES, run_isolation_forest=False, run_lof=False, run_autoencoder=False,
+                          run_duplicate_check=False, **options)
+
+
+OWN = [Detector("ages", large_ages, 0.3, rank=15), Detector("sensors", broken)]
+
+
 @query
 def detector_counts(spark, folder):
-    """F8."""
-    status = [(a, "completed", 1, None, None) for a in ("statistical", "clinical_rules", "missing_data", "lof")]
-    return quality.algorithm_results(visit_hits(spark, folder), status).select("algorithm", "status", "flagged")
+    """F8: detectors of a real run, one of the caller's own, one that fails."""
+    run = analyze(visits(spark, folder), "event_id", _visit_run(detectors=OWN, strict=False))
+    return run.algorithms.select("algorithm", "status", "flagged", F.col("error").contains("no such sensor").alias("failed"))
+
+
+@query
+def own_detector_findings(spark, folder):
+    """F4, F7, F9 with a detector of the caller's own: its hits are weighted, ranked and named like others."""
+    run = analyze(visits(spark, folder), "event_id", _visit_run(detectors=OWN[:1]))
+    return run.findings.select("row_key", "column_name", "anomaly_score", "severity", "detection_method", "anomaly_type")
+
+
+@query
+def own_detector_summary(spark, folder):
+    """F9 with a detector of the caller's own."""
+    return analyze(visits(spark, folder), "event_id", _visit_run(detectors=OWN[:1])).summary
+
+
+def stored_runs(spark, folder) -> str:
+    """A folder with three runs on the visits: one complete, one without the oldest subjects, one that failed."""
+    path = scratch(spark)
+    v = visits(spark, folder)
+    stored_analysis(v, "event_id", path, "whole", _visit_run(), "visits", OWNER)
+    stored_analysis(v.where("age <= 100"), "event_id", path, "younger", _visit_run(run_clinical_rules=False), "visits", OWNER)
+    try:
+        stored_analysis(v, "event_id", path, "broken", _visit_run(detectors=OWN[1:]), "visits", OWNER)
+    except Exception as error:  # it is in the record
+        if "no such sensor" not in str(error):
+            raise
+    return path
+
+
+@query
+def stored_records(spark, folder):
+    """the records that runs have left, with counts observed while their findings were written."""
+    records = sinks.read_records(spark, f"{stored_runs(spark, folder)}/analyses")
+    return records.where("analysis_id <> 'younger'").select(
+        "analysis_id", "dataset_id", "status", "total_rows", "total_anomalies", "critical", "high", "medium", "low",
+        "quality_score", "anomaly_rate_percent", F.col("error").contains("no such sensor").alias("failed"),
+        (F.col("processing_time_seconds") > 0).alias("timed"))
+
+
+@query
+def stored_report(spark, folder):
+    """Q6, Q7, Q14, Q16 on the records and findings of runs: (section, name, value)."""
+    path = stored_runs(spark, folder)
+    records, found = sinks.read_records(spark, f"{path}/analyses"), spark.read.parquet(f"{path}/findings")
+    tables = results.report_tables(found, profile.profile(visits(spark, folder), VISIT_NUMBERS), records,
+                                   quality.recommendations(found.where("analysis_id = 'whole'")),
+                                   spark.read.parquet(f"{path}/detectors").where("analysis_id = 'whole'"), "whole")
+    sets = datasets(spark, folder).withColumn("user_id", F.col("user_id").cast("string"))
+    totals = results.dashboard_totals(sets, records, found, str(OWNER))
+    row = lambda section, name, value: (F.lit(section).alias("section"), name.cast("string").alias("name"),
+                                        value.cast("string").alias("value"))
+    newest = results.recent_analyses(records, sets.withColumn("dataset_id", F.col("dataset_id").cast("string")), str(OWNER), 3)
+    parts = [
+        tables["executive_summary"].select(*row("summary", F.col("analysis_id"), F.col("total_anomalies"))),
+        tables["severity"].select(*row("severity", F.col("severity"), F.col("n"))),
+        tables["algorithms"].select(*row("algorithm", F.col("algorithm"), F.col("flagged"))),
+        tables["column_statistics"].select(*row("column", F.col("column_name"), F.col("count"))),
+        tables["findings"].groupBy("severity").count().select(*row("finding", F.col("severity"), F.col("count"))),
+        tables["recommendations"].select(*row("advice", F.col("position"), F.col("recommendation"))),
+        tables["timestamps"].select(*row("in order", F.col("analysis_id"), F.col("started_at") <= F.col("completed_at"))),
+        totals.select(*row("dashboard", F.lit("analyses"), F.col("total_analyses"))),
+        newest.select(*row("newest", F.col("analysis_id"), F.col("status"))),
+        results.run_duration(records).select(*row("timed", F.col("analysis_id"), F.col("duration_seconds") > 0))]
+    return hits.union_hits(parts)
 
 
 @query

@@ -350,6 +350,24 @@ ADVICE = f"""SELECT (row_number() OVER (ORDER BY o) - 1)::INTEGER AS position, t
   UNION ALL SELECT 5, {_advice_text('statistical')} WHERE {_N.format('method', 'statistical')} > 5)"""
 
 
+#: Findings with one more detector: weight 0.3, named after the rules.
+OWN = f"""own_scores AS (SELECT row_key, column_name, s1, s2, s3, s4, k2, k3 FROM scores FULL JOIN (
+    SELECT event_id AS row_key, 'age' AS column_name, round(age / 200.0, 4)::DOUBLE AS s4 FROM visits WHERE age > 150) o
+    USING (row_key, column_name)),
+own_all AS (SELECT *, least(1.0, greatest(0.0, (coalesce(s1 * {W['statistical']}, 0) + coalesce(s2 * {W['clinical_rules']}, 0)
+    + coalesce(s3 * {W['missing_data']}, 0) + coalesce(s4 * 0.3, 0))
+    / (CASE WHEN s1 IS NULL THEN 0 ELSE {W['statistical']}::DOUBLE END
+       + CASE WHEN s2 IS NULL THEN 0 ELSE {W['clinical_rules']}::DOUBLE END
+       + CASE WHEN s3 IS NULL THEN 0 ELSE {W['missing_data']}::DOUBLE END
+       + CASE WHEN s4 IS NULL THEN 0 ELSE 0.3::DOUBLE END))) AS c FROM own_scores),
+own AS (SELECT row_key, column_name, round(c, 4) AS anomaly_score, CASE WHEN c >= 0.8 THEN 'CRITICAL' WHEN c >= 0.6
+    THEN 'HIGH' WHEN c >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+    concat_ws(', ', CASE WHEN s1 IS NOT NULL THEN 'statistical' END, CASE WHEN s2 IS NOT NULL THEN 'clinical_rules' END,
+      CASE WHEN s4 IS NOT NULL THEN 'ages' END, CASE WHEN s3 IS NOT NULL THEN 'missing_data' END) AS detection_method,
+    coalesce(k3, k2, CASE WHEN s1 IS NOT NULL THEN 'statistical_outlier' END, 'large_age') AS anomaly_type
+    FROM own_all WHERE c >= 0.3)"""
+
+
 def quality_sql(findings: str, rows: str) -> str:
     return f"""SELECT rows, total, critical, high,
   greatest(0.0, round(100.0 - (critical * 5.0 + high * 2.0 + (total - critical - high) * 0.5), 2))::DOUBLE AS quality_score,
@@ -521,6 +539,26 @@ def oracle_sql() -> dict[str, str]:
             (VALUES (0.01), (0.25), (0.5), (0.75), (0.99)) v(q)""",
         "sketched_bounds_lineitem": """SELECT column_name, true AS close
             FROM (VALUES ('l_extendedprice'), ('l_orderkey')) c(column_name)""",
+        "ingested_files": """
+          SELECT 'a_nation' AS file, ',' AS delimiter, 'n_nationkey,n_name,n_regionkey' AS header, count(*) AS rows,
+            0::BIGINT AS bad_lines, 'n_nationkey=long,n_name=string,n_regionkey=long' AS types,
+            'n_nationkey=0,n_name=0,n_regionkey=0' AS missing, least(10, count(*)) AS previewed,
+            arg_min(n_name, n_nationkey) AS cell, NULL::VARCHAR AS problem, 'stored' AS duplicate_of FROM nation
+          UNION ALL SELECT f, ';', 'r_regionkey,r_name', count(*), 0, 'r_regionkey=long,r_name=string',
+            'r_regionkey=0,r_name=0', least(10, count(*)), arg_min(r_name, r_regionkey), NULL, any_value(d)
+            FROM region, (VALUES ('b_region', NULL), ('c_copy', 'b_region')) v(f, d) GROUP BY f
+          UNION ALL SELECT 'd_supplier', ',', 's_suppkey,label,good', count(*), 0, 's_suppkey=long,label=string,good=boolean',
+            's_suppkey=0,label=' || count(*) FILTER (s_suppkey % 3 = 0) || ',good=' || count(*) FILTER (s_acctbal IS NULL),
+            least(10, count(*)), first(CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'a "quoted", name ' || s_suppkey END
+            ORDER BY s_suppkey), NULL, NULL FROM supplier
+          UNION ALL SELECT 'e_customer', chr(9), 'c_custkey,c_acctbal', count(*), 0, 'c_custkey=long,c_acctbal=double',
+            'c_custkey=0,c_acctbal=' || count(*) FILTER (c_custkey % 4 = 0), least(10, count(*)),
+            first(CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END::VARCHAR ORDER BY c_custkey), NULL, NULL FROM customer
+          UNION ALL SELECT 'f_none', '|', 'r_regionkey,r_name', 0, 0, NULL, NULL, NULL, NULL,
+            'Uploaded CSV file contains no data rows', NULL
+          UNION ALL SELECT 'g_part.csv', ',', 'p_partkey,p_size', count(*) FILTER (p_partkey % 5 > 0),
+            count(*) FILTER (p_partkey % 5 = 0), 'p_partkey=long,p_size=long', 'p_partkey=0,p_size=0', 10,
+            arg_min(p_size, p_partkey) FILTER (p_partkey % 5 > 0)::VARCHAR, NULL, NULL FROM part""",
         "lof_embeddings": _with(lof_ctes("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"))
         + "SELECT * FROM scored",
         "lof_embeddings_approximate": _with(lof_ctes("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"))
@@ -541,9 +579,35 @@ def oracle_sql() -> dict[str, str]:
         "decorated_findings": _with(merged()) + """SELECT row_key, column_name, subject_id, value,
           round(expected_range_min, 4) AS expected_range_min, round(expected_range_max, 4) AS expected_range_max, z_score,
           detection_method, anomaly_type FROM findings""",
-        "detector_counts": _with(merged()) + """SELECT algorithm, 'completed' AS status, count(algo) AS flagged FROM
-          (VALUES ('statistical'), ('clinical_rules'), ('missing_data'), ('lof')) v(algorithm)
-          LEFT JOIN hits ON algo = algorithm GROUP BY algorithm""",
+        "detector_counts": _with(merged()) + """SELECT algorithm, status, count(algo) AS flagged, failed FROM
+          (VALUES ('statistical', 'completed', NULL), ('clinical_rules', 'completed', NULL),
+                  ('missing_data', 'completed', NULL), ('ages', 'completed', NULL), ('sensors', 'failed', true)
+          ) v(algorithm, status, failed) LEFT JOIN (SELECT algo FROM hits UNION ALL SELECT 'ages' FROM visits WHERE age > 150)
+          ON algo = algorithm GROUP BY algorithm, status, failed""",
+        "own_detector_findings": _with(merged(), OWN) + """SELECT row_key, column_name, anomaly_score, severity,
+          detection_method, anomaly_type FROM own""",
+        "own_detector_summary": _with(merged(), OWN, SUMMARY.replace("findings", "own")) + "SELECT section, name, n FROM summary",
+        "stored_records": _with(merged()) + """SELECT * FROM (SELECT 'whole' AS analysis_id, 'visits' AS dataset_id,
+          'COMPLETED' AS status, max(v.rows) AS total_rows, count(*) AS total_anomalies,
+          count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
+          count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low,
+          greatest(0.0, round(100.0 - 5.0 * critical - 2.0 * high - 0.5 * (medium + low), 2))::DOUBLE AS quality_score,
+          round(total_anomalies / total_rows * 100, 2) AS anomaly_rate_percent, NULL::BOOLEAN AS failed, true AS timed
+          FROM findings, (SELECT count(*) AS rows FROM visits) v) UNION ALL SELECT 'broken', 'visits', 'FAILED', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true,
+          true""",
+        "stored_report": _with(merged(), SUMMARY, f"advice AS ({ADVICE})") + """
+          SELECT 'summary' AS section, 'whole' AS name, count(*)::VARCHAR AS value FROM findings
+          UNION ALL SELECT 'severity', severity, count(*)::VARCHAR FROM findings GROUP BY severity
+          UNION ALL SELECT 'finding', severity, count(*)::VARCHAR FROM findings GROUP BY severity
+          UNION ALL SELECT 'algorithm', algo, count(*)::VARCHAR FROM hits GROUP BY algo
+          UNION ALL SELECT 'column', 'heart_rate', count(heart_rate)::VARCHAR FROM visits
+          UNION ALL SELECT 'column', 'systolic_bp', count(systolic_bp)::VARCHAR FROM visits
+          UNION ALL SELECT 'column', 'weight', count(weight)::VARCHAR FROM visits
+          UNION ALL SELECT 'column', 'temperature', count(temperature)::VARCHAR FROM visits
+          UNION ALL SELECT 'advice', position::VARCHAR, recommendation FROM advice
+          UNION ALL SELECT * FROM (VALUES ('in order', 'whole', 'true'), ('dashboard', 'analyses', '3'),
+            ('newest', 'whole', 'COMPLETED'), ('newest', 'younger', 'COMPLETED'), ('newest', 'broken', 'FAILED'),
+            ('timed', 'whole', 'true'), ('timed', 'younger', 'true'), ('timed', 'broken', 'true'))""",
         "finding_summary": _with(merged(), SUMMARY) + "SELECT section, name, n FROM summary",
         "quality_of_visits": _with(merged()) + quality_sql("findings", "visits"),
         "quality_of_documents": _with(cells("documents", "doc_id", ["n_chars"]), f"""f AS (SELECT *, CASE
@@ -615,7 +679,7 @@ def oracle_sql() -> dict[str, str]:
           WHEN 'MEDIUM' THEN 2 ELSE 3 END AS position, severity, count(*) AS n FROM stored GROUP BY severity""",
         "severity_counts": _with(STORED) + """SELECT s AS severity, count(f.severity) AS n FROM
           (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) v(s)
-          LEFT JOIN (SELECT * FROM stored WHERE detection_method = 'none') f ON f.severity = s GROUP BY s""",
+          LEFT JOIN stored f ON f.severity = s GROUP BY s""",
         "method_counts": _with(STORED) + """SELECT m AS method, count(*) AS n FROM (
           SELECT unnest(string_split(detection_method, ', ')) AS m FROM stored) GROUP BY m""",
         "column_counts": _with(STORED) + "SELECT column_name, count(*) AS n FROM stored GROUP BY column_name",

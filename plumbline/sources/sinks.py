@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.results import export_rows
@@ -28,6 +28,33 @@ def write_reviews(findings: DataFrame, path: str) -> None:
      .partitionBy("analysis_id").parquet(path))
 
 
+RECORD_SCHEMA = ("analysis_id string, dataset_id string, user_id string, status string, created_at timestamp, "
+                 "started_at timestamp, completed_at timestamp, total_rows long, total_anomalies long, critical long, "
+                 "high long, medium long, low long, quality_score double, anomaly_rate_percent double, "
+                 "processing_time_seconds double, error string")
+
+
+def append_record(spark: SparkSession, record: dict, path: str) -> None:
+    """Add the record of one run to the table of analyses: one small file, nothing is rewritten."""
+    names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
+    texts = {"analysis_id", "dataset_id", "user_id"}
+    row = tuple(None if record.get(n) is None else str(record[n]) if n in texts else record[n] for n in names)
+    spark.createDataFrame([row], RECORD_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all runs; of a run that was repeated under its name the last one counts."""
+    latest = Window.partitionBy("analysis_id").orderBy(F.desc("completed_at"))
+    rows = spark.read.schema(RECORD_SCHEMA).parquet(path).withColumn("__n", F.row_number().over(latest))
+    return rows.where("__n = 1").drop("__n")
+
+
+def write_detectors(algorithms: DataFrame, path: str, analysis_id: str) -> None:
+    """Replace the per-detector results of one analysis."""
+    (algorithms.withColumn("analysis_id", F.lit(analysis_id)).coalesce(1).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(path))
+
+
 def write_sketches(sketches: DataFrame, path: str, by: list[str]) -> None:
     """Store the sketches of some parts; parts that are stored already are replaced, all others stay as they are."""
     (sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
