@@ -14,7 +14,7 @@ from ..operators import (duplicates, ensemble, explain, hits, iforest, lof, long
                          quality, reconstruct, results, rules, sketches, univariate)
 from ..operators.vocabulary import CLINICAL_RANGES
 from ..sources import csv as csv_source
-from ..sources import files, ingest, sinks
+from ..sources import files, ingest, reviews, sinks
 from ..streaming import score
 from .analysis import AnalysisConfig, Detector, analyze, stored_analysis
 from .tables import (VISIT_RULES, analyses, datasets, readings, stored_findings, table, users, visits)
@@ -178,6 +178,44 @@ def findings_exported(spark, folder):
                        F.col("anomaly_score").cast("double").alias("anomaly_score"), "severity", "detection_method")
 
 
+def _reviewed_store(spark, folder, compacted: bool) -> str:
+    """Findings of three analyses with two batches of marks that contradict each other, and a late one with an old date."""
+    path = scratch(spark)
+    f = visit_findings(spark, folder).drop("score_text")
+    for name in ("a1", "a2", "a3"):
+        sinks.write_findings(f, f"{path}/findings", name, "2024-01-01")
+    marked = f.where("severity IN ('CRITICAL', 'HIGH')").select("row_key", "column_name", "severity")
+    of = lambda name, day, **fields: marked.select(
+        F.lit(name).alias("analysis_id"), "row_key", "column_name", "severity", F.lit(day).cast("date").alias("marked_at"),
+        *[F.lit(v).alias(k) for k, v in fields.items()])
+    reviews.append_marks(of("a1", "2024-02-01", is_reviewed=True, review_note="first").unionByName(
+        of("a2", "2024-02-01", is_reviewed=True, review_note="first")), path, 1)
+    reviews.append_marks(of("a1", "2024-02-02", review_note="second", is_false_positive=True).where("row_key % 2 = 0"), path, 2)
+    if compacted:
+        reviews.compact(spark, path)
+    reviews.append_marks(of("a1", "2024-01-15", is_reviewed=False, review_note="late").where("severity = 'HIGH'"), path, 3)
+    return path
+
+
+def _review_counts(findings) -> DataFrame:
+    return findings.groupBy("analysis_id", "severity", "is_reviewed", "review_note", "is_false_positive").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query
+def marks_on_read(spark, folder):
+    """Q3, Q4 as an append-only log: the later mark counts, whenever its batch came."""
+    return _review_counts(reviews.read_findings(spark, _reviewed_store(spark, folder, False)))
+
+
+@query
+def marks_compacted(spark, folder):
+    """Q3, Q4 after compaction of the first two batches; the third one is compacted by itself, in a second run."""
+    path = _reviewed_store(spark, folder, True)
+    reviews.compact(spark, path)
+    return _review_counts(spark.read.parquet(f"{path}/findings"))
+
+
 # ---- profiling ---------------------------------------------------------------------------------
 
 def _profile(spark, folder, name, cols):

@@ -559,6 +559,13 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT 'g_part.csv', ',', 'p_partkey,p_size', count(*) FILTER (p_partkey % 5 > 0),
             count(*) FILTER (p_partkey % 5 = 0), 'p_partkey=long,p_size=long', 'p_partkey=0,p_size=0', 10,
             arg_min(p_size, p_partkey) FILTER (p_partkey % 5 > 0)::VARCHAR, NULL, NULL FROM part""",
+        **dict.fromkeys(("marks_on_read", "marks_compacted"), _with(merged()) + """
+          SELECT analysis_id, severity, is_reviewed, review_note, is_false_positive, count(*) AS n FROM (
+            SELECT a AS analysis_id, severity, a <> 'a3' AND top AS is_reviewed, CASE WHEN a = 'a1' AND top AND row_key % 2 = 0
+              THEN 'second' WHEN a <> 'a3' AND top THEN 'first' END AS review_note, a = 'a1' AND top AND row_key % 2 = 0
+              AS is_false_positive
+            FROM (SELECT *, severity IN ('CRITICAL', 'HIGH') AS top FROM findings), (VALUES ('a1'), ('a2'), ('a3')) v(a))
+          GROUP BY ALL"""),
         "lof_embeddings": _with(lof_ctes("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"))
         + "SELECT * FROM scored",
         "lof_embeddings_approximate": _with(lof_ctes("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"))
