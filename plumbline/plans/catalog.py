@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunks import with_row_index
 from ..functions.schema import quoted
-from ..operators import (duplicates, ensemble, explain, hits, iforest, lof, longitudinal, mapping, missing, profile,
+from ..operators import (by_table, duplicates, ensemble, explain, hits, iforest, lof, longitudinal, mapping, missing, profile,
                          quality, reconstruct, results, rules, sketches, univariate)
 from ..operators.vocabulary import CLINICAL_RANGES
 from ..sources import csv as csv_source
@@ -1082,6 +1082,49 @@ def stream_scores(spark, folder):
     return shape(score.run_available(found, f"{path}/hits", f"{path}/state"))
 
 
+def study_rules(spark) -> DataFrame:
+    """Limits of two studies, and common ones for all others."""
+    return spark.createDataFrame(
+        [("view", "heart_rate", 20.0, 60.0, "bpm", 5.0, None), ("click", "heart_rate", 10.0, 90.0, "bpm", None, 120.0),
+         (None, "heart_rate", 15.0, 80.0, "bpm", 2.5, 110.0), (None, "weight", 55.0, 140.0, "kg", None, None)],
+        "study string, concept string, low double, high double, unit string, critical_low double, critical_high double")
+
+
+@query
+def ranges_by_study(spark, folder):
+    """C1 with limits from a table that differ by study."""
+    v = visits(spark, folder).join(table(spark, folder, "events").select("event_id", F.col("event_type").alias("study")),
+                                   "event_id")
+    concepts = {"heart_rate": "heart_rate", "weight": "weight"}
+    return by_table.range_hits(v, "event_id", study_rules(spark), concepts, "study", "subject_id").select(
+        "row_key", "column_name", "score", "expected_min", "expected_max", "anomaly_type", "note")
+
+
+@query
+def scores_by_table(spark, folder):
+    """U1, U2, U3, U5 with the baseline as a table in the plan."""
+    v = visits(spark, folder).select("event_id", *VISIT_NUMBERS)
+    return by_table.baseline_hits(v, "event_id", score.baseline(v, VISIT_NUMBERS)).select(
+        "row_key", "column_name", "method", "score", "expected_min", "expected_max")
+
+
+@query
+def stream_living_baseline(spark, folder):
+    """T1 against stored tables that change between two arrivals: the second half meets half the numbers, other limits."""
+    path = scratch(spark)
+    e = table(spark, folder, "events").select("event_id", "value")
+    rule = lambda low, high: spark.createDataFrame(
+        [(None, "reading", low, high, "u", None, None)], study_rules(spark).schema)
+    for part, scale, limits in ((0, 1.0, (5.0, 90.0)), (1, 0.5, (10.0, 50.0))):
+        e.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{path}/in")
+        score.baseline(e.withColumn("value", F.col("value") * scale), ["value"]).write.mode("overwrite").parquet(f"{path}/base")
+        rule(*limits).write.mode("overwrite").parquet(f"{path}/rules")
+        stream = spark.readStream.schema(e.schema).parquet(f"{path}/in")
+        score.score_arrivals(stream, "event_id", f"{path}/base", f"{path}/out", f"{path}/state", f"{path}/rules",
+                             {"value": "reading"})
+    return spark.read.parquet(f"{path}/out").select("row_key", "method", "score", "expected_min")
+
+
 @query
 def stream_usage(spark, folder):
     """Q17 on a stream with a watermark; hours the watermark has closed."""

@@ -566,6 +566,37 @@ def oracle_sql() -> dict[str, str]:
               AS is_false_positive
             FROM (SELECT *, severity IN ('CRITICAL', 'HIGH') AS top FROM findings), (VALUES ('a1'), ('a2'), ('a3')) v(a))
           GROUP BY ALL"""),
+        "ranges_by_study": _with(VISITS) + """SELECT event_id AS row_key, column_name,
+            CASE WHEN x < cl OR x > ch THEN 1.0 ELSE 0.8 END::DOUBLE AS score, low AS expected_min, high AS expected_max,
+            CASE WHEN x < cl OR x > ch THEN 'critical_physiological_range' ELSE 'out_of_physiological_range' END AS anomaly_type,
+            CASE WHEN x < cl THEN 'Critical low value ' || t || ' ' || unit || ' is below safety threshold (' || clt || ').'
+                 WHEN x > ch THEN 'Critical high value ' || t || ' ' || unit || ' is above safety threshold (' || cht || ').'
+                 ELSE 'Out-of-range physiological value ' || t || ' ' || unit || ' (expected [' || lt || '-' || ht || ']).' END
+              AS note
+          FROM (SELECT v.event_id, c.column_name, CASE c.column_name WHEN 'weight' THEN weight ELSE heart_rate END AS x,
+                       CASE WHEN c.column_name = 'weight' THEN 'all' WHEN event_type IN ('view', 'click') THEN event_type
+                            ELSE 'all' END AS study
+                FROM visits v JOIN events USING (event_id), (VALUES ('heart_rate'), ('weight')) c(column_name)) y
+          JOIN (VALUES ('view', 'heart_rate', 20, 60, 'bpm', 5, NULL, '20', '60', '5', NULL),
+                       ('click', 'heart_rate', 10, 90, 'bpm', NULL, 120, '10', '90', NULL, '120'),
+                       ('all', 'heart_rate', 15, 80, 'bpm', 2.5, 110, '15', '80', '2.5', '110'),
+                       ('all', 'weight', 55, 140, 'kg', NULL, NULL, '55', '140', NULL, NULL))
+               r(study, column_name, low, high, unit, cl, ch, lt, ht, clt, cht) USING (study, column_name),
+          LATERAL (SELECT x::VARCHAR AS t) z
+          WHERE x < low OR x > high OR x < cl OR x > ch""",
+        "scores_by_table": _with(VISITS, VISIT_CELLS) + " UNION ALL ".join(
+            f"SELECT row_key, column_name, method, score, expected_min, expected_max FROM ({part})"
+            for part in (zscore_sql(), iqr_sql(), MODIFIED, PERCENTILE)),
+        "stream_living_baseline": """WITH s AS (SELECT count(value) AS n, avg(value) AS m, stddev_samp(value) AS sd,
+            median(value) AS med, (SELECT median(abs(value - (SELECT median(value) FROM events))) FROM events) AS mad FROM events),
+          e AS (SELECT event_id, value, m * f AS m, sd * f AS sd, med * f AS med, mad * f AS mad, lo, hi FROM events, s,
+                (VALUES (0, 1.0::DOUBLE, 5.0::DOUBLE, 90.0::DOUBLE), (1, 0.5, 10.0, 50.0)) h(part, f, lo, hi)
+                WHERE event_id % 2 = part)
+          SELECT event_id AS row_key, 'zscore' AS method, round(least(abs((value - m) / sd) / 6.0, 1.0), 4) AS score,
+            round(m - 3 * sd, 4) AS expected_min FROM e WHERE abs((value - m) / sd) > 3
+          UNION ALL SELECT event_id, 'modified_zscore', round(least(abs(0.6745 * (value - med) / mad) / 7.0, 1.0), 4), NULL
+            FROM e WHERE abs(0.6745 * (value - med) / mad) > 3.5
+          UNION ALL SELECT event_id, 'range_rules', 0.8, lo FROM e WHERE value < lo OR value > hi""",
         "lof_embeddings": _with(lof_ctes("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"))
         + "SELECT * FROM scored",
         "lof_embeddings_approximate": _with(lof_ctes("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"))

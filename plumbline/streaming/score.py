@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.by_table import all_hits
 from ..operators.results import usage_per_hour
 from ..operators.rules import range_rules
 from ..operators.univariate import METHODS, ColumnStats, column_stats, iqr, modified_zscore, percentile_bounds, zscore
@@ -46,6 +47,21 @@ def score_stream(stream: DataFrame, key, base: DataFrame, methods=("zscore", "iq
     return out
 
 
+def score_arrivals(stream: DataFrame, key, base_path: str, out: str, checkpoint: str, rules_path: str | None = None,
+                   concepts=None, methods=("zscore", "modified_zscore"), study_col=None, subject_col=None) -> None:
+    """Score everything that has arrived against the baseline and rules as they are stored now, and stop.
+
+    Called again, it goes on behind what it has scored before (the checkpoint knows), with the tables as they are then: they
+    are the static sides of joins and are read anew by every call, so a new baseline takes effect without a new stream.
+    """
+    spark = stream.sparkSession
+    rules = spark.read.parquet(rules_path) if rules_path else None
+    hits = all_hits(stream, key, spark.read.parquet(base_path), rules, concepts, methods, study_col, subject_col)
+    run = (hits.writeStream.outputMode("append").format("parquet").option("path", out)
+           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    run.awaitTermination()
+
+
 def usage_stream(events: DataFrame, user_col: str, time_col: str, per_hour: int = 5,
                  late: str = "10 minutes") -> DataFrame:
     """User hours over the limit, emitted when the watermark closes the hour."""
