@@ -16,8 +16,8 @@ from ..functions.chunks import checkpoint_folder
 BROADCAST_BYTES = 32 << 20
 #: Rounds in which the members of a list meet one leader, before those that are still apart meet each other.
 LEADER_ROUNDS = 8
-#: How often what a node has in common with others is counted anew.
-OVERLAP_ROUNDS = 2
+#: Longs of a sketch; each holds 16 coordinates of 4 bits.
+SKETCH_LONGS = 16
 #: Words whose hash a Python worker remembers; the table is emptied when it is full.
 REMEMBERED_WORDS = 400_000
 #: A-Z to lower case, all other bytes as they are.
@@ -67,7 +67,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(posted: DataFrame, confirm: Callable[[DataFrame], DataFrame], sizes: DataFrame | None = None,
-           overlaps: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+           overlaps: Callable[[DataFrame], DataFrame] | None = None,
+           sketches: Callable[[DataFrame], DataFrame] | None = None, agreed: int = 0) -> DataFrame:
     """Components (node, root) of the confirmed links between nodes that share a token of ``posted`` (token, node).
 
     ``confirm`` keeps the pairs (a, b) that are links. No list is expanded into all its pairs. In a round every member
@@ -75,7 +76,9 @@ def linked(posted: DataFrame, confirm: Callable[[DataFrame], DataFrame], sizes:
     while they take away a quarter of the pairs left or more and pairs left outnumber the postings. Then members meet
     whose components still differ, so no link between components is lost. With ``sizes`` (node, n), pairs whose sets of
     n elements cannot have a Jaccard similarity of 3 / 4 are left out unseen; ``overlaps`` may say for the nodes that
-    are left how many elements each has in common with any other of them: (node, s).
+    are left how many elements each has in common with any other of them: (node, s). ``sketches`` may give for the nodes
+    that are left the columns w0, w1 and so on, ``SKETCH_LONGS`` longs of 4-bit coordinates; of these, links agree on
+    ``agreed`` or more.
     """
     # of n and m elements, similar sets have 3 / 7 (n + m) in common; s is how many a set has in common at most
     near = "7 * least(s, s_a) >= 3 * (n + n_a) and root <> r_a"
@@ -110,21 +113,37 @@ def linked(posted: DataFrame, confirm: Callable[[DataFrame], DataFrame], sizes:
         if left <= total or 4 * left > 3 * before:
             break
     lists = saved(lists.select("token", "node", "n", "s", "root"))
-    if overlaps is not None and left > total:
-        for _ in range(OVERLAP_ROUNDS):  # nodes that drop out have nothing in common with the others any more
+    if overlaps is not None:
+        nodes = lists.select("node").distinct().count()
+        while nodes:  # nodes that drop out have nothing in common with the others any more, so others may drop out too
             common = overlaps(lists.select("node").distinct())
             lists = saved(lists.drop("s").join(common, "node").where("4 * s >= 3 * n").select(*lists.columns))
+            before, nodes = nodes, lists.select("node").distinct().count()
+            if 10 * nodes > 9 * before:
+                break
     # a pair meets in the first of its common lists only
     tokens = lists.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("t"))
-    lists = saved(lists.join(tokens, "node").select(*lists.columns, "t"))
-    other = lists.toDF("token", "a", "n_a", "s_a", "r_a", "t_a")
-    across = (lists.join(other, (lists["token"] == other["token"]) & F.expr(near + " and root < r_a")
+    lists = lists.join(tokens, "node").select(*lists.columns, "t")
+    words = [f"w{i}" for i in range(SKETCH_LONGS)] if sketches is not None else []
+    if words:
+        lists = lists.join(sketches(lists.select("node").distinct()).select("node", *words), "node").select(*lists.columns, *words)
+    lists = saved(lists)
+    other = lists.toDF("token", "a", "n_a", "s_a", "r_a", "t_a", *(f"{w}_a" for w in words))
+    alike = f"{16 * len(words)} - ({' + '.join(map(_differing, words))}) >= {agreed}" if words else "true"
+    across = (lists.join(other, (lists["token"] == other["token"]) & F.expr(f"{near} and root < r_a and {alike}")
                          & (F.element_at(F.array_intersect(lists["t"], other["t_a"]), 1) == lists["token"]))
               .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
               .join(tested, ["a", "b"], "left_anti"))
     return saved(components(links.unionAll(saved(confirm(saved(across))))))
 
 
+def _differing(word: str) -> str:
+    """SQL of the number of 4-bit coordinates in which a sketch's ``word`` differs from that of the other side."""
+    x = f"({word} ^ {word}_a)"
+    folded = f"({x} | shiftright({x}, 1) | shiftright({x}, 2) | shiftright({x}, 3))"
+    return f"bit_count({folded} & 1229782938247303441L)"  # the lowest bit of each coordinate
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered up to a bound."""
 

@@ -54,6 +54,29 @@ def test_near_duplicates(docs, texts, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_second_signatures_tell_pairs_apart():
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    for share, low, high in ((0.75, near_dedup.FINE_MATCHES, 256), (0.5, 0, near_dedup.FINE_MATCHES - 1)):
+        for _ in range(20):
+            common = round(400 * share)
+            h = rng.integers(0, 2**63, 400, dtype=np.int64)
+            sets = [np.sort(h[:common + (400 - common) // 2]), np.sort(np.concatenate([h[:common], h[common + (400 - common) // 2:]]))]
+            batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([list(map(int, s)) for s in sets], pa.list_(pa.int64()))],
+                                               ["node", "shingles"])
+            out = next(near_dedup._sketches(iter([batch])))
+            a, b = (np.array([out.column(i + 1)[r].as_py() for i in range(16)], np.int64).view(np.uint8) for r in (0, 1))
+            same = int(((a & 15) == (b & 15)).sum() + ((a >> 4) == (b >> 4)).sum())
+            assert low <= same <= high
+
+
+def test_sketches_are_compared_in_sql(spark):
+    from plumbline.llm.common import _differing
+    df = spark.createDataFrame([(0x123456789ABCDEF0, 0x123456789ABCDEF0), (0x1000000000000001, 0), (-1, 0), (-2**63, 0)],
+                               "w0 long, w0_a long")
+    assert [r[0] for r in df.select(F.expr(_differing("w0"))).collect()] == [0, 2, 16, 1]
+
+
 def test_near_duplicates_of_repeated_and_unnamed_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (1, "other"), (None, None)],
                                "doc_id long, text string")
