@@ -24,6 +24,8 @@ BITS = 18
 FIT_ROWS = 12_000
 #: Features that are kept by default: those whose presence says most about the label in the fitted documents.
 KEPT = 4096
+#: Fitted documents of one task.
+TASK_ROWS = 1500
 SMOOTHING = 1.0
 PENALTY = 1e-5
 PASSES = 300
@@ -73,8 +75,9 @@ def _training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, labe
     met = given.select("id", "digest").join(F.broadcast(chosen), "id").distinct()
     taken = met.orderBy(F.xxhash64("id"), "id", F.xxhash64("digest"), "digest").limit(fit_rows)
     rows = given.join(F.broadcast(taken), ["id", "digest"])
-    return rows.groupBy("id", "digest").agg(F.first("label").alias("label"), F.first("text").alias("text")).select(
-        "label", "text")
+    rows = rows.groupBy("id", "digest").agg(F.first("label").alias("label"), F.first("text").alias("text"))
+    # the rows are bounded, so are their tasks: each of these counts all features once
+    return rows.select("label", "text").coalesce(max(1, -(-fit_rows // TASK_ROWS)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
