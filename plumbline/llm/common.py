@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.chunks import checkpoint_folder
 
+#: Spark's switch for removing the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A side is broadcast only when its counted rows times the given width stay below this.
 BROADCAST_BYTES = 32 << 20
 #: Rounds in which the members of a list meet one leader, before those that are still apart meet each other.
@@ -29,11 +31,17 @@ WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared folder of ``spark.checkpoint.dir`` and read it back.
 
-    Cuts the lineage, survives lost executors, and takes less room than an RDD checkpoint.
+    Cuts the lineage, survives lost executors, and takes less room than an RDD checkpoint. What the write has shuffled is
+    removed when the table is there, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
