@@ -303,3 +303,34 @@ def test_repair_of_nothing(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     made = conversations.repair(none)
     assert made.faults.count() == made.rows.count() == conversations.read_out(made.rows).count() == 0
+
+
+# 3, whose method has changed
+
+def test_lines_of_documents_against_all_pairs(spark):
+    from collections import Counter, defaultdict
+
+    import brute
+
+    from plumbline.llm import line_dedup
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    places = defaultdict(list)
+    for doc_id, text in docs.collect():
+        for at, raw in enumerate((text or "").split("\n")):
+            line = raw.strip(" ").lower()
+            if line.strip(line_dedup.BLANKS):
+                places[line].append((doc_id, at))
+    lines = sorted(places)
+    sets = [{line[i:i + 5] for i in range(len(line) - 4)} for line in lines]
+    links, postings = [], defaultdict(list)
+    for i, s in enumerate(sets):
+        common = Counter(j for sh in s for j in postings[sh])
+        links += [(i, j) for j, c in common.items() if c >= 0.75 * (len(s) + len(sets[j]) - c)]
+        for sh in s:
+            postings[sh].append(i)
+    groups = defaultdict(list)
+    for line, root in zip(lines, brute.roots(len(lines), links), strict=True):
+        groups[root] += places[line]
+    gone = Counter(doc for spots in groups.values() for doc, _ in sorted(spots)[1:])
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.without_duplicate_lines(docs).collect()}
+    assert sum(gone.values()) > 100 and got == {d: gone.get(d, 0) for d in got}
