@@ -592,6 +592,32 @@ def isolation_embeddings(spark, folder):
     return iforest.isolation_forest(table(spark, folder, "embeddings"), "vec_id", vector_col="embedding")
 
 
+def _properties(scored: DataFrame, n: int, share: float = 0.05) -> DataFrame:
+    """(n, lowest, highest, share_close, apart): every row has a score, the scores span 0 to 1, the wanted share is
+    flagged, and no flagged row scores below one that is not."""
+    flagged = F.col("is_anomaly")
+    found = scored.agg(
+        F.count(F.lit(1)).alias("n"), F.min("anomaly_score").alias("lowest"), F.max("anomaly_score").alias("highest"),
+        F.count_if(flagged).alias("k"), F.min(F.when(flagged, F.col("anomaly_score"))).alias("least"),
+        F.max(F.when(~flagged, F.col("anomaly_score"))).alias("most"))
+    return found.select("n", "lowest", "highest", (F.abs(F.col("k") - share * n) <= 1 + 0.01 * n).alias("share_close"),
+                        (F.col("least") >= F.col("most")).alias("apart"))
+
+
+@query
+def isolation_properties(spark, folder):
+    """M1: properties of the scores of all line items."""
+    t = table(spark, folder, "lineitem")
+    return _properties(iforest.isolation_forest(t, LINE_KEY, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), t.count())
+
+
+@query
+def reconstruction_properties(spark, folder):
+    """M3: properties of the scores of all line items."""
+    t = table(spark, folder, "lineitem")
+    return _properties(reconstruct.reconstruction(t, LINE_KEY, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), t.count())
+
+
 @query
 def lof_customers(spark, folder):
     """M2."""

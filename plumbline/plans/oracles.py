@@ -597,6 +597,12 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT event_id, 'modified_zscore', round(least(abs(0.6745 * (value - med) / mad) / 7.0, 1.0), 4), NULL
             FROM e WHERE abs(0.6745 * (value - med) / mad) > 3.5
           UNION ALL SELECT event_id, 'range_rules', 0.8, lo FROM e WHERE value < lo OR value > hi""",
+        **dict.fromkeys(("isolation_properties", "reconstruction_properties"), """SELECT count(*) AS n, 0.0::DOUBLE AS lowest,
+          1.0::DOUBLE AS highest, true AS share_close, true AS apart FROM lineitem"""),
+        "stream_usage": """SELECT user_id, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, used, greatest(0, 1 - used) AS remaining
+          FROM (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS used FROM events GROUP BY ALL),
+               (SELECT max(ts) AS last FROM events)
+          WHERE used > 1 AND hour + INTERVAL 1 HOUR <= last - INTERVAL 10 MINUTE""",
         "lof_embeddings": _with(lof_ctes("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"))
         + "SELECT * FROM scored",
         "lof_embeddings_approximate": _with(lof_ctes("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"))
