@@ -127,3 +127,13 @@ def test_approximate_factors_count_copies(spark):
     exact = lof(frame(spark, x), "id").toPandas().set_index("row_key")["raw_score"]
     near = lof(frame(spark, x), "id", approx=True).toPandas().set_index("row_key")["raw_score"]
     assert near.idxmax() == 7 and np.allclose(exact.sort_index(), near.sort_index(), atol=1e-3)  # one run holds all
+
+
+def test_neighbours_over_several_levels_of_boxes(spark, monkeypatch):
+    from plumbline.operators import vectors
+    monkeypatch.setattr(vectors, "TOP_NODES", 2)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 2))
+    few = lof(frame(spark, x), "id", k=5, block_rows=20).toPandas().set_index("row_key")["raw_score"].sort_index()
+    one = lof(frame(spark, x), "id", k=5, block_rows=600).toPandas().set_index("row_key")["raw_score"].sort_index()
+    assert np.allclose(few, one, atol=1e-3)
