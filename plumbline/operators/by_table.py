@@ -91,6 +91,7 @@ def range_hits(df: DataFrame, key, rules: DataFrame, concepts: dict[str, str], s
              .withColumn("r", F.coalesce("own", "common")).where("r IS NOT NULL"))
     low, high = "x < r.critical_low", "x > r.critical_high"
     number = lambda v: f"regexp_replace(CAST({v} AS STRING), '[.]0$', '')"
+    # The note texts are those of the range rules.
     note = (f"CASE WHEN {low} THEN concat('Critical low value {{x}} ', r.unit, ' is below safety threshold (', {number('r.critical_low')}, ').') "
             f"WHEN {high} THEN concat('Critical high value {{x}} ', r.unit, ' is above safety threshold (', {number('r.critical_high')}, ').') "
             f"ELSE concat('Out-of-range physiological value {{x}} ', r.unit, ' (expected [', {number('r.low')}, '-', {number('r.high')}, ']).') END"

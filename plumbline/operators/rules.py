@@ -27,6 +27,7 @@ def range_candidates(df: DataFrame, col_map: dict[str, str] | None = None, rules
         x = number_sql(df, c)
         critical = "critical_physiological_range"
         cases = []
+        # The published note texts, here and in the rules below.
         if crit_low is not None:
             cases.append((f"{x} < {crit_low}", 1.0, critical,
                           f"Critical low value {{x}} {unit} is below safety threshold ({crit_low})."))
