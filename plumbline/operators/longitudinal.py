@@ -5,6 +5,7 @@ NULLs" is a running ``last(ignorenulls)``, so the table is neither unpivoted
 nor shuffled once per column. If some subject has more rows than ``max_group``
 the rows are range-partitioned by (subject, time, key) instead, windows run
 inside each slice, and only the last state of a slice is carried to the next.
+The number of slices follows the rows, at most one for each ``SLICE_ROWS`` of a large table.
 """
 
 from __future__ import annotations
@@ -19,9 +20,17 @@ from .hits import emit, hit, no_hits, text_of, when
 from .vocabulary import REPEAT_CONCEPTS
 
 MAX_GROUP = 1_000_000
+#: A slice of a large table has at least this many rows, however small ``max_group`` is; a small one has ``MIN_SLICES`` slices.
+SLICE_ROWS = 200_000
+MIN_SLICES = 64
 FLOOR = 1e-5
 
 
+def slices_of(rows: int, max_group: int) -> int:
+    """Slices of about ``max_group`` rows; where that is little, as few as hold ``SLICE_ROWS`` each, so that tasks stay few."""
+    return max(2, min(-(-rows // max_group), max(MIN_SLICES, -(-rows // SLICE_ROWS))))
+
+
 def with_history(
     df: DataFrame, key, subject_col: str, timepoint_col: str | None, values: dict[str, Column],
     runs=(), max_group: int = MAX_GROUP,
@@ -34,11 +43,10 @@ def with_history(
     base = df.where(quoted(subject_col).isNotNull())
     frame = base.select("*", *[v.alias(f"__x_{i}") for i, v in enumerate(values.values())])
     subject = quoted(subject_col)
-    largest = base.groupBy(subject.alias("s")).count().agg(F.max("count")).head()[0] or 0
-    sliced = largest > max_group
+    rows, largest = base.groupBy(subject.alias("s")).count().agg(F.sum("count"), F.max("count")).head()
+    sliced = (largest or 0) > max_group
     if sliced:
-        parts = max(2, -(-base.count() // max_group))
-        frame = ordered_chunks(frame, [subject.asc(), *order], parts)
+        frame = ordered_chunks(frame, [subject.asc(), *order], slices_of(rows, max_group))
         group = [subject, F.col("__chunk")]
     else:
         group = [subject]
@@ -137,7 +145,10 @@ def longitudinal(
     repeats = [c for c in cols if col_map[c] in REPEAT_CONCEPTS] if "repeat" in checks else []
     if not cols:
         return no_hits(df, key)
-    frame = with_history(df, key, subject_col, timepoint_col, {c: number(df, c) for c in cols}, repeats, max_group)
+    # slices are written, so they hold what the checks read and no more
+    needed = dict.fromkeys([*as_list(key), subject_col, *as_list(timepoint_col), *cols])
+    frame = with_history(df.select(*[quoted(c) for c in needed]), key, subject_col, timepoint_col,
+                         {c: number(df, c) for c in cols}, repeats, max_group)
     found = []
     for i, c in enumerate(cols):
         if "shift" in checks:

@@ -87,3 +87,18 @@ def test_longitudinal_checks_in_one_group_or_in_slices(series, max_group):
 def test_missing_streak(series):
     h = missing.missing_streak(series, "id", "subject", "visit", "weight", k=1, max_group=3)
     assert rows(h, "row_key") == [(s * 100 + i,) for s in range(3) for i in (1, 6)]
+
+
+def test_slices_stay_few_however_small_a_group_may_be(spark, monkeypatch):
+    assert l.slices_of(10, 4) == 3  # small tables are sliced as asked
+    assert l.slices_of(6_000_000, 20) <= 64  # was 300,000
+    assert l.slices_of(360_000_000, 20) == 1_800
+    assert l.slices_of(3_000_000, 1_000_000) == 3
+    asked = []
+    chunks = l.ordered_chunks
+    monkeypatch.setattr(l, "ordered_chunks", lambda df, order, parts: asked.append((df.columns, parts)) or chunks(df, order, parts))
+    t = spark.range(2_000).selectExpr("id", "id % 3 AS subject", "id AS visit", "IF(id < 1000, 10.0D, 100.0D) AS lab", "'x' AS other")
+    got = l.shift_fold(t, "id", "subject", "visit", "lab", max_group=5)
+    assert sorted(r["row_key"] for r in got.collect()) == [1000, 1001, 1002]
+    (columns, parts), = asked
+    assert parts == 64 and "other" not in columns
