@@ -1,10 +1,15 @@
+import sys
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators.iforest import isolation_forest
 from plumbline.operators.lof import lof
 from plumbline.operators.reconstruct import reconstruction
 
+neighbours = sys.modules["plumbline.operators.lof"]
+
 
 def frame(spark, x, parts=4):
     schema = "id long, " + ", ".join(f"c{i} double" for i in range(x.shape[1]))
@@ -137,3 +142,25 @@ def test_neighbours_over_several_levels_of_boxes(spark, monkeypatch):
     few = lof(frame(spark, x), "id", k=5, block_rows=20).toPandas().set_index("row_key")["raw_score"].sort_index()
     one = lof(frame(spark, x), "id", k=5, block_rows=600).toPandas().set_index("row_key")["raw_score"].sort_index()
     assert np.allclose(few, one, atol=1e-3)
+
+
+def test_blocks_that_are_all_near_each_other_meet_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 12))
+    x[400:440] = x[0]  # copies
+    x[500:520] = np.round(x[500:520])
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    edges, met, tiles = {}, [], neighbours._in_tiles
+    monkeypatch.setattr(neighbours, "_in_tiles", lambda *a: met.append(a[-1]) or tiles(*a))
+    for partners in (10 ** 9, 1):
+        monkeypatch.setattr(neighbours, "MANY_PARTNERS", partners)
+        monkeypatch.setattr(neighbours, "TILE_COPIES", 3)
+        met.clear()
+        frame = neighbours.vector_frame(t, "id", vector_col="v")
+        placed = neighbours.blocks(frame.groupBy("vec").agg(F.min("row_key").alias("first"), F.count("*").alias("copies")), 12, 40).persist()
+        edges[partners] = {tuple(r) for r in neighbours.nearest(placed, 12, 8).join(
+            placed.select("pos", "first"), "pos").select("first", "dist", "weight").collect()}
+        assert met == ([] if partners > 1 else [6])  # 17 blocks, each near about all
+    assert edges[1] == edges[10 ** 9]
+    dist = np.sqrt(np.square(x[:, None] - x[None]).sum(axis=2))
+    assert max(d for i, d, _ in edges[1] if i == 7) == pytest.approx(np.sort(dist[7])[8])
