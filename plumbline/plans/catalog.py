@@ -42,6 +42,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/plumbline-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to a folder of its own and read from there, for queries that use it several times."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # ---- sources and sinks -------------------------------------------------------------------------
 
 @query
@@ -160,7 +167,7 @@ def preview_events(spark, folder):
 def findings_written(spark, folder):
     """Findings written twice under one analysis and once under another, read back."""
     path = scratch(spark)
-    f = visit_findings(spark, folder).drop("score_text")
+    f = kept(visit_findings(spark, folder).drop("score_text"))
     sinks.write_findings(f, path, "a1", "2024-01-01")
     sinks.write_findings(f, path, "a2", "2024-01-01")
     sinks.write_findings(f.where("severity = 'CRITICAL'"), path, "a1", "2024-01-01")
@@ -181,7 +188,7 @@ def findings_exported(spark, folder):
 def _reviewed_store(spark, folder, compacted: bool) -> str:
     """Findings of three analyses with two batches of marks that contradict each other, and a late one with an old date."""
     path = scratch(spark)
-    f = visit_findings(spark, folder).drop("score_text")
+    f = kept(visit_findings(spark, folder).drop("score_text"))
     for name in ("a1", "a2", "a3"):
         sinks.write_findings(f, f"{path}/findings", name, "2024-01-01")
     marked = f.where("severity IN ('CRITICAL', 'HIGH')").select("row_key", "column_name", "severity")

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.plans import catalog
 from plumbline.sources import reviews, sinks
 
 SCHEMA = "row_key long, column_name string, severity string, anomaly_score double"
@@ -85,3 +86,23 @@ def test_a_batch_that_is_stored_again_replaces_itself(spark, store):
     with pytest.raises(Exception, match="marked_at"):
         reviews.append_marks(spark.range(1).select(F.lit("a").alias("analysis_id"), F.col("id").alias("row_key"),
                                                    F.lit("x").alias("column_name")), store)
+
+
+@pytest.mark.parametrize("name", ["findings_written", "marks_on_read", "marks_compacted"])
+def test_findings_that_are_used_several_times_are_made_once(spark, monkeypatch, name):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    found = spark.createDataFrame(
+        [(1, "a", "HIGH", "s"), (2, "a", "CRITICAL", "s"), (3, "b", "LOW", "s")],
+        "row_key long, column_name string, severity string, score_text string").withColumn("note", counted("severity"))
+    monkeypatch.setattr(catalog, "visit_findings", lambda *_: found)
+    counts = {}
+    for r in catalog.QUERIES[name](spark, "").collect():
+        counts[r["analysis_id"]] = counts.get(r["analysis_id"], 0) + r["n"]
+    assert counts == ({"a1": 1, "a2": 3} if name == "findings_written" else {"a1": 3, "a2": 3, "a3": 3})
+    assert made.value == 3
