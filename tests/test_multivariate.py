@@ -164,3 +164,11 @@ def test_blocks_that_are_all_near_each_other_meet_in_tiles(spark, monkeypatch):
     assert edges[1] == edges[10 ** 9]
     dist = np.sqrt(np.square(x[:, None] - x[None]).sum(axis=2))
     assert max(d for i, d, _ in edges[1] if i == 7) == pytest.approx(np.sort(dist[7])[8])
+
+
+def test_few_groups_where_few_blocks_are_near(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(neighbours, "work_parts", lambda n, *a: met.append(n) or 2)
+    x = np.random.default_rng(5).uniform(size=(2000, 2))
+    lof(frame(spark, x), "id", k=3, block_rows=20)
+    assert met[1] <= 13 * 13  # 100 blocks, each near some, in 13 tiles
