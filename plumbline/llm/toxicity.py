@@ -136,10 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """
     rows = saved(_training_rows(docs, labels, text, key, label, fit_rows))
     met = rows.mapInArrow(_counted, "feature int, n0 long, n1 long").groupBy("feature").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()  # at most 2 ** BITS + 1 rows
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most 2 ** BITS + 1 rows
     counts = np.zeros((2, (1 << BITS) + 1))
-    for r in met:
-        counts[:, r["feature"]] = r["n0"], r["n1"]
+    counts[:, met["feature"].to_numpy()] = met["n0"].to_numpy(), met["n1"].to_numpy()
     total, counts = counts[:, -1], counts[:, :-1]
     share = float(total[1] / total.sum()) if total.sum() else 0.0
     if not total.all():
@@ -148,9 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     ratios = np.log(shares[1] / shares[0])
     gain = np.abs(shares[1] - shares[0]) * np.abs(ratios)
     kept = np.sort(np.argsort(-gain, kind="stable")[:kept_features])
-    found = rows.mapInArrow(_kept(kept), "label int, features array<int>").collect()  # at most fit_rows x kept_features
-    given = [np.array(r["features"], np.int32) for r in found]
-    weights, bias = _regression(given, np.array([float(r["label"] > 0) for r in found]), ratios[kept])
+    # at most fit_rows x kept_features numbers, which as Python's would take ten times the driver's memory
+    found = rows.mapInArrow(_kept(kept), "label int, features array<int>").toArrow()
+    given = [r.values.to_numpy() for r in found["features"]]
+    weights, bias = _regression(given, (found["label"].to_numpy() > 0).astype(float), ratios[kept])
     out = np.zeros(1 << BITS)
     out[kept] = weights * ratios[kept]
     return Model(out, float(bias))

@@ -397,3 +397,15 @@ def test_whole_pipeline_equals_its_stages(spark):
     kept = spark.read.parquet(f"{SF}/documents.parquet").join(got.select("doc_id").distinct(), "doc_id")
     assert got.select("doc_id").distinct().count() == kept.count() > 0
     assert got.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_the_fit_brings_no_rows_of_features_to_the_driver(spark, monkeypatch):
+    kind = type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: pytest.fail("rows") if {"feature", "features"} & set(self.columns)
+                        else collect(self))
+    texts = [(i, "vile rude words" if i % 2 else "calm kind prose") for i in range(40)]
+    docs = spark.createDataFrame([*texts, (40, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.score("vile rude words") > 0.5 > model.score("calm kind prose")
