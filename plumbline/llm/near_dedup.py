@@ -9,9 +9,10 @@ up. Pairs above the match threshold are confirmed on their full shingle sets.
 
 Documents with equal shingle sets are one class before anything is posted. A list is not expanded into all pairs:
 every member is first compared with the smallest member only, and in a second pass members of a list are compared only
-where the components found so far still differ, which loses no link between different components. What is left for that
-pass is signed anew with ``FINE`` coordinates, which tell pairs below 0.6 from pairs above 0.75, so that a group of
-documents that are somewhat alike does not meet itself pair by pair.
+where the components found so far still differ, which loses no link between different components. Of these only pairs are
+made whose shingles, rarest first, allow a link (``common._alike``), so that a group of documents that are somewhat alike
+does not meet itself pair by pair. What is left is signed anew with ``FINE`` coordinates, which tell pairs below 0.6 from
+pairs above 0.75.
 """
 
 from __future__ import annotations
@@ -130,13 +131,6 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     return met.where("100 * common >= 75 * (n_a + n_b - common)").select("a", "b")
 
 
-def _overlaps(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """How many shingles of each of ``nodes`` are in others of them: (node, s). A node without any is left out."""
-    each = sets.join(nodes, "node").select("node", F.explode("shingles").alias("shingle"))
-    several = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-    return each.join(several, "shingle").groupBy("node").agg(F.count("*").alias("s"))
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -167,7 +161,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sets = saved(texts.mapInArrow(_sets, "set_high long, set_low long, shingles array<bigint>")
                  .join(members, ["set_high", "set_low"]).groupBy("node").agg(F.first("shingles").alias("shingles")))
     found = linked(posted, lambda pairs: _confirmed(pairs, classes, sets),
-                   classes.select("node", F.col("n_shingles").alias("n")), lambda nodes: _overlaps(nodes, sets),
+                   classes.select("node", F.col("n_shingles").alias("n")),
+                   lambda nodes: sets.join(nodes, "node").select("node", F.explode("shingles").alias("element")),
                    lambda nodes: _fine(nodes, sets), FINE_MATCHES)
     lowest = (classes.select("node", "doc").join(found, "node").groupBy("root").agg(F.min("doc").alias("lowest")))
     named = classes.select("node", "set_high", "set_low", "doc").join(found, "node", "left").join(lowest, "root", "left")
