@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ SHALLOW = 4
 HOT_CONTEXTS = 20_000
 #: Contexts that are sorted at a time, and windows of a text that are hashed at a time.
 _SORTED, _BLOCK = 20_000, 1 << 20
+#: Windows that are ordered at a time, and bytes of texts whose contexts are held at a time, if no single one has more.
+_WINDOWS, _TEXTS = 400_000, 4 << 20
 _PLACE = np.uint64(_BLOCK * 2 - 1)
 
 
@@ -68,10 +71,21 @@ def _of_text(text: bytes) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 4
 
 
+def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs whose texts have ``_TEXTS`` bytes at most, a longer text by itself."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, _TEXTS + (upto[at - 1] if at else 0), "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchor hashes and how often a batch of texts has them."""
     for batch in batches:
-        found = [_of_text((t or "").encode())[1].astype(np.uint64) for t in batch.column(0).to_pylist()]
+        found = [_of_text((t or "").encode())[1].astype(np.uint64) for piece in _pieces(batch, "text")
+                 for t in piece.column(0).to_pylist()]
         values, counts = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
         yield pa.RecordBatch.from_arrays([pa.array(np.array(values, np.uint64).view(np.int64)),
                                           pa.array(np.array(counts, np.int64))], ["anchor", "n"])
@@ -82,8 +96,8 @@ def _occurrences(wanted, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None if wanted is None else wanted.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                yield part(whole.slice(at, 1000), table)
+            for piece in _pieces(whole, "text"):
+                yield part(piece, table)
 
     def part(batch: pa.RecordBatch, table: np.ndarray | None) -> pa.RecordBatch:
         rows, columns, contexts, digests = [], [], [], []
@@ -179,18 +193,32 @@ def equal_in_trie(strings: list[bytes]) -> list[list[int]]:
 
 def repeated_windows(contexts: list[bytes], anchor: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Of each context, the least and the largest distance from anchor back to the start of a window that another
-    context of the same anchor has too; (-1, -1) where there is none."""
-    sizes = high - low + 1
-    owner = np.repeat(np.arange(len(contexts)), sizes)
-    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    back = high[owner] - inside
-    lengths = np.array([len(c) for c in contexts])
+    context of the same anchor has too; (-1, -1) where there is none.
+
+    Windows at different distances never meet, so some distances are done at a time.
+    """
+    lengths = np.array([len(c) for c in contexts], np.int64)
     begin = np.cumsum(lengths) - lengths
-    starts = begin[owner] + inside
     buffer = np.frombuffer(b"".join(contexts), np.uint8)
     number = np.unique(anchor, return_inverse=True)[1]
     out = np.full((len(contexts), 2), -1, np.int64)
-    for group in multikey_groups(buffer, starts, number[owner] * (LENGTH + 1) + back):
+    step = max(1, _WINDOWS // max(1, len(contexts)))
+    for least in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1, step):
+        _repeated_between(least, least + step - 1, contexts, buffer, begin, number, low, high, out)
+    return out
+
+
+def _repeated_between(least: int, most: int, contexts: list[bytes], buffer: np.ndarray, begin: np.ndarray, number: np.ndarray,
+                      low: np.ndarray, high: np.ndarray, out: np.ndarray) -> None:
+    """Take the windows at distances from ``least`` to ``most`` into ``out``, see ``repeated_windows``."""
+    top = np.minimum(high, most)
+    sizes = np.maximum(top - np.maximum(low, least) + 1, 0)
+    if not sizes.any():
+        return
+    owner = np.repeat(np.arange(len(contexts)), sizes)
+    back = top[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    inside = high[owner] - back
+    for group in multikey_groups(buffer, begin[owner] + inside, number[owner] * (LENGTH + 1) + back):
         members, at = owner[group].tolist(), inside[group].tolist()
         windows = [contexts[m][a:a + LENGTH] for m, a in zip(members, at, strict=True)]
         distance = int(back[group[0]])
@@ -199,7 +227,6 @@ def repeated_windows(contexts: list[bytes], anchor: np.ndarray, low: np.ndarray,
                 m = members[i]
                 out[m, 0] = distance if out[m, 0] < 0 else min(out[m, 0], distance)
                 out[m, 1] = max(out[m, 1], distance)
-    return out
 
 
 def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +335,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in _pieces(whole, "text")):
         out: list[list] = [[] for _ in names[1:]]
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             code, at, kept = (text or "").encode(), 0, []
