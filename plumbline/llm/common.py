@@ -10,10 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chunks import checkpoint_folder
+from ..functions.chunks import checkpoint_folder, shuffles_removed
 
-#: Spark's switch for removing the shuffle files of a query that has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A side is broadcast only when its counted rows times the given width stay below this.
 BROADCAST_BYTES = 32 << 20
 #: Rounds in which the members of a list meet one leader, before those that are still apart meet each other.
@@ -39,12 +37,8 @@ def saved(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

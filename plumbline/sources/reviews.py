@@ -2,9 +2,9 @@
 
 Marks are only ever appended: a batch of marks is one new folder below ``marks``. Reading merges the marks that are not yet
 compacted into the findings, so a mark is visible as soon as its batch is written. Compaction rewrites the analyses that
-have marks, and no others: the merged rows are first written aside, then moved over the old ones, then the batches are
-recorded as done. Every step is recorded in ``steps``; a compaction that was interrupted is taken up at its last finished
-step, and doing a step again changes nothing.
+have marks, and no others: the merged rows are first written aside, then their folders take the place of the old ones,
+then the batches are recorded as done. Every step is recorded in ``steps``; a compaction that was interrupted is taken up
+at its last finished step, and doing a step again changes nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.chunks import shuffles_removed
+
 KEY = ["analysis_id", "row_key", "column_name"]
 FIELDS = ["is_reviewed", "review_note", "is_false_positive"]
+#: So many marked analyses are merged one after the other, so that only one is shuffled at a time.
+ONE_BY_ONE = 16
 STEPS = "step string, batch long, staged string"
 
 
@@ -89,6 +93,31 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
     return merged(spark.read.parquet(f"{path}/findings"), open_marks(spark, path))
 
 
+def _moved(spark: SparkSession, place: str, to: str) -> int:
+    """Put the analyses staged below ``place`` in the place of those below ``to``; returns how many were moved.
+
+    Folders are moved, so rows are not written again and no second copy of them is kept. After an interruption the folders
+    still staged are moved.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(to).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(place)):
+        return 0
+    count = 0
+    for status in fs.listStatus(path(place)):
+        name = status.getPath().getName()
+        if not status.isDirectory() or not name.startswith("analysis_id="):
+            continue
+        old, new = path(path(to), name), status.getPath()
+        fs.delete(old, True)
+        if not fs.rename(new, old):
+            raise OSError(f"{new.toString()} could not be moved to {old.toString()}")
+        count += 1
+    fs.delete(path(place), True)
+    spark.catalog.refreshByPath(to)
+    return count
+
+
 def compact(spark: SparkSession, path: str) -> int:
     """Write all open marks into the findings; returns the number of analyses that were rewritten.
 
@@ -106,17 +135,18 @@ def compact(spark: SparkSession, path: str) -> int:
         touched = found.select("analysis_id").distinct()
         place = f"{path}/staged-{upto}"
         # the marked analyses alone are read: their names prune partitions
-        merged(findings.join(touched, "analysis_id", "left_semi"), found).write.mode("overwrite").partitionBy(
-            "analysis_id").parquet(place)
+        names = [r[0] for r in touched.limit(ONE_BY_ONE + 1).collect()]
+        if len(names) > ONE_BY_ONE:
+            parts = [(findings.join(touched, "analysis_id", "left_semi"), found)]
+        else:
+            parts = [tuple(t.where(F.col("analysis_id").eqNullSafe(F.lit(name))) for t in (findings, found)) for name in names]
+        with shuffles_removed(spark):
+            for i, (rows, marks) in enumerate(parts):
+                (merged(rows, marks).write.mode("append" if i else "overwrite").option("compression", "zstd")
+                 .partitionBy("analysis_id").parquet(place))
         _record(spark, path, "staged", upto, place)
         staged_upto = upto
     # from here on a second run takes the same rows from the staged place
-    rows = _read(spark, place)
-    count = 0
-    if rows is not None:
-        count = rows.select("analysis_id").distinct().count()
-        rows = spark.read.schema(spark.read.parquet(f"{path}/findings").schema).parquet(place)
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id")
-         .parquet(f"{path}/findings"))
+    count = _moved(spark, place, f"{path}/findings")
     _record(spark, path, "done", staged_upto, place)
     return count

@@ -18,7 +18,7 @@ def write_findings(findings: DataFrame, path: str, analysis_id: str, created_at=
     for name, value in defaults.items():
         if name not in findings.columns:
             stamped = stamped.withColumn(name, value)
-    (stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
      .partitionBy("analysis_id").parquet(path))
 
 

@@ -106,3 +106,31 @@ def test_findings_that_are_used_several_times_are_made_once(spark, monkeypatch,
         counts[r["analysis_id"]] = counts.get(r["analysis_id"], 0) + r["n"]
     assert counts == ({"a1": 1, "a2": 3} if name == "findings_written" else {"a1": 3, "a2": 3, "a3": 3})
     assert made.value == 3
+
+
+def test_compaction_keeps_no_second_copy_of_the_findings(spark, store):
+    mark(spark, store, 1, ("a1", 0, "x", 5, True, "seen"), ("a2", 1, "x", 5, True, "seen"))
+    want = state(spark, store)
+    assert reviews.compact(spark, store) == 2
+    assert state(spark, store, "stored") == want
+    assert not [f for f in os.listdir(store) if f.startswith("staged")]
+
+
+@pytest.mark.parametrize("one_by_one", [0, 1, 2])
+def test_many_marked_analyses_are_merged_at_once(spark, store, monkeypatch, one_by_one):
+    monkeypatch.setattr(reviews, "ONE_BY_ONE", one_by_one)
+    mark(spark, store, 1, ("a1", 0, "x", 5, True, "seen"), ("a3", None, "y", 5, True, "seen"))
+    want = state(spark, store)
+    assert reviews.compact(spark, store) == 2 and state(spark, store, "stored") == want
+
+
+def test_a_move_that_was_interrupted_is_taken_up(spark, store, monkeypatch):
+    mark(spark, store, 1, ("a1", 0, "x", 5, True, "seen"), ("a2", 1, "x", 5, True, "seen"))
+    want = state(spark, store)
+    monkeypatch.setattr(reviews, "_moved", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        reviews.compact(spark, store)
+    monkeypatch.undo()
+    os.rename(f"{store}/findings/analysis_id=a1", f"{store}/lost")  # taken away, the new one not yet in its place
+    assert reviews.compact(spark, store) == 2 and reviews.compact(spark, store) == 0
+    assert state(spark, store, "stored") == want
